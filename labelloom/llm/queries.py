@@ -6,14 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, warc
+from . import byte_bpe, language_id, nearest, packing, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), payload="crc32")
 
@@ -26,6 +40,38 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_packing": op6_packing, "op7_byte_bpe": op7_byte_bpe, "op8_warc": op8_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_nearest, op4_language_id, op6_packing, op7_byte_bpe, op8_warc)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_nearest": """
+with sound as (
+    select distinct vec_id, embedding::double[] as v from embeddings
+    where vec_id is not null and embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score
+    from sound q join sound c on len(q.v) = len(c.v) and (q.vec_id <> c.vec_id or q.v <> c.v)
+    where q.vec_id % 20 = 0
+), ranked as (
+    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+""",
+    "op8_warc": """
+with full_pages as (select page_id, encode(coalesce(html, '')) as payload, octet_length(encode(coalesce(html, ''))) as n from pages),
+best as (select payload, max(page_id) as best from full_pages group by payload),
+bits as (
+    select page_id, n, payload, sha1(payload) as hex from full_pages
+)
+select p.page_id, cast(p.n as bigint) as payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + cast((((strpos('0123456789abcdef', p.hex[1 + (5 * i) // 4]) - 1) * 256
+            + (strpos('0123456789abcdef', coalesce(nullif(p.hex[2 + (5 * i) // 4], ''), '0')) - 1) * 16
+            + (strpos('0123456789abcdef', coalesce(nullif(p.hex[3 + (5 * i) // 4], ''), '0')) - 1))
+            >> (7 - (5 * i) % 4)) & 31 as integer), 1)), 'string_agg', '') as payload_digest,
+    case when b.best = p.page_id then 'response' else 'revisit' end as record_type,
+    case when b.best <> p.page_id then b.best end as refers_to
+from bits p join best b using (payload)
+""",
+}
