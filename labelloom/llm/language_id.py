@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import HashTable
+from ._common import HashTable, kept_rows
 
 #: Length of the longest context in bytes.
 ORDER = 3
@@ -133,37 +133,49 @@ def training_texts(docs: DataFrame, where: Column) -> list[tuple[str, str]]:
     return out
 
 
+def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits a byte of each text."""
+    raw = [(i, t.encode()) for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+    langs, scores, rates = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    i = 0
+    while i < len(raw):
+        j, size = i, 0
+        while j < len(raw) and (j == i or size + len(raw[j][1]) <= 1 << 19):
+            size += len(raw[j][1])
+            j += 1
+        starts = np.cumsum([0, *(len(t) for _, t in raw[i:j])])
+        bits = model.bits(np.frombuffer(b"".join(t for _, t in raw[i:j]), np.uint8), starts)
+        best = bits.argmin(1)
+        least = bits[np.arange(len(best)), best]
+        rows = [k for k, _ in raw[i:j]]
+        scores[rows] = 1 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(1)
+        rates[rows] = least / np.diff(starts)
+        for k, b in zip(rows, best.tolist(), strict=True):
+            langs[k] = model.languages[b]
+        i = j
+    return langs, scores, rates
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, lang_pred, score, bits_per_byte)`` of each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            raw = [(i, t.encode()) for i, t in enumerate(batch.column(1).to_pylist()) if model and t and _LETTER.search(t)]
-            langs, scores, rates = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            i = 0
-            while i < len(raw):
-                j, size = i, 0
-                while j < len(raw) and (j == i or size + len(raw[j][1]) <= 1 << 19):
-                    size += len(raw[j][1])
-                    j += 1
-                starts = np.cumsum([0, *(len(t) for _, t in raw[i:j])])
-                bits = model.bits(np.frombuffer(b"".join(t for _, t in raw[i:j]), np.uint8), starts)
-                best = bits.argmin(1)
-                least = bits[np.arange(len(best)), best]
-                rows = [k for k, _ in raw[i:j]]
-                scores[rows] = 1 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(1)
-                rates[rows] = least / np.diff(starts)
-                for k, b in zip(rows, best.tolist(), strict=True):
-                    langs[k] = model.languages[b]
-                i = j
+            langs, scores, rates = predicted(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rates)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, any others) whose language can be told."""
+    texts = training_texts(docs, ~held_out(3, 1))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(texts) if texts else None)
+    return kept_rows(docs, lambda texts: np.array([x != UNDETERMINED for x in predicted(shared.value, texts)[0]], bool))
+
+
 def held_out(folds: int, which: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == which
 

@@ -166,6 +166,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) less all but one document of each group, the one of smallest doc_id.
+
+    Rows without doc_id stay; of rows that share one, one stays.
+    """
+    known = docs.filter(F.col("doc_id").isNotNull())
+    kept = near_duplicates(known, words, percent).filter("kept").select("doc_id")
+    return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def _long_lists(rows: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (u, v) of different components in long lists whose estimate allows for a link, block of ``BLOCK`` by block."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

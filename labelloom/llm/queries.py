@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, near_duplicates, nearest, packing, toxicity, warc
+from . import byte_bpe, fingerprints, language_id, near_duplicates, nearest, packing, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("n_spans", F.size("spans")).drop("spans")
@@ -48,7 +53,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_nearest, op4_language_id, op6_packing, op7_byte_bpe, op8_warc, op9_minhash, op10_winnowing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array, op2_toxicity, op3_nearest, op4_language_id, op6_packing, op7_byte_bpe, op8_warc, op9_minhash, op10_winnowing)}
 
 ORACLE: dict[str, str] = {
     "op3_nearest": """

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mixed, span_hashes, text_blocks
+from ._common import kept_rows, mixed, span_hashes, text_blocks
 from .byte_bpe import LETTER, NUMBER, classes, point_values
 from .language_id import held_out
 
@@ -180,28 +180,32 @@ def training_texts(docs: DataFrame, labels: DataFrame, where: Column) -> list[tu
     return list({r["text"]: marks[r["doc_id"]] for r in rows.collect()}.items())
 
 
+def scored(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score and toxic spans of each text."""
+    spans: list[list[dict]] = [[] for _ in texts]
+    if model is None or not texts:
+        return np.zeros(len(texts)), spans
+    parts = []
+    for first, _, points, starts, _ in text_blocks(texts):
+        begin, end, buckets, at = tokens(points, starts)
+        parts.append((first, model.weights[buckets].sum(1), at, starts, begin.astype(np.int32), end.astype(np.int32)))
+    before = np.cumsum([0, *(len(x[1]) for x in parts)])
+    at = np.append(np.concatenate([x[2][:-1] + b for x, b in zip(parts, before[:-1], strict=True)]), before[-1]).astype(np.int64)
+    p = marginals(np.concatenate([x[1] for x in parts]), at, model.transitions, model.start)
+    for (first, _, own, starts, begin, end), b in zip(parts, before[:-1], strict=True):
+        for k in np.flatnonzero(p[b : b + len(begin)] >= 0.5).tolist():
+            doc = int(np.searchsorted(own, k, side="right")) - 1
+            spans[first + doc].append({"begin": int(begin[k] - starts[doc]), "end": int(end[k] - starts[doc]), "p": float(p[b + k])})
+    return 1 / (1 + np.exp(-np.clip(summaries(p, at) @ model.document, -30, 30))), spans
+
+
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, score, predicted, spans)`` of each row; spans: begin and end of toxic tokens in code points, with the marginal."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            n = batch.num_rows
-            score, spans = np.zeros(n), [[] for _ in range(n)]
-            if model is not None:
-                parts = []
-                for first, _, points, starts, _ in text_blocks(batch.column(1).to_pylist()):
-                    begin, end, buckets, at = tokens(points, starts)
-                    parts.append((first, model.weights[buckets].sum(1), at, starts, begin.astype(np.int32), end.astype(np.int32)))
-                before = np.cumsum([0, *(len(x[1]) for x in parts)])
-                at = np.append(np.concatenate([x[2][:-1] + b for x, b in zip(parts, before[:-1], strict=True)]) if parts else [], before[-1]).astype(np.int64)
-                p = marginals(np.concatenate([x[1] for x in parts]) if parts else np.zeros(0), at, model.transitions, model.start)
-                score = 1 / (1 + np.exp(-np.clip(summaries(p, at) @ model.document, -30, 30)))
-                for (first, _, own, starts, begin, end), b in zip(parts, before[:-1], strict=True):
-                    for k in np.flatnonzero(p[b : b + len(begin)] >= 0.5).tolist():
-                        doc = int(np.searchsorted(own, k, side="right")) - 1
-                        spans[first + doc].append({"begin": int(begin[k] - starts[doc]), "end": int(end[k] - starts[doc]), "p": float(p[b + k])})
+            score, spans = scored(shared.value, batch.column(1).to_pylist())
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "score", "predicted", "spans"])
 
@@ -209,6 +213,12 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, spans array<struct<begin: int, end: int, p: double>>")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) that score below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(training_texts(docs, labels, ~held_out(5, 0))))
+    return kept_rows(docs, lambda texts: scored(shared.value, texts)[0] < 0.5)
+
+
 def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the labels outside the held-out fifth and scores every row: doc_id, held_out, score, predicted, spans."""
     model = fit(training_texts(docs, labels, ~held_out(5, 0)))
