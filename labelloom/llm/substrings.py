@@ -23,7 +23,7 @@ largest. Other columns of any name are carried along.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -240,11 +240,20 @@ def _dealt(keys: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def repeated_anchors(blocked: DataFrame, length: int, buckets: int, frequent: int) -> DataFrame:
     """``(block, keys, frequent)``: hashes of the block's anchors that two documents or more have."""
 
+    def keys_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        position, hashed, _, _ = sliced(data, starts, length)
+        return hashed, np.searchsorted(starts, position, side="right") - 1
+
+    return repeated_keys(blocked, keys_of, buckets, frequent)
+
+
+def repeated_keys(blocked: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int, frequent: int) -> DataFrame:
+    """``(block, keys, frequent)``: of the keys that ``keys_of`` finds in the texts of a block, with their texts' numbers, those of two texts or more; ``frequent`` marks those of more than so many."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             data, starts, _ = _opened(row)
-            position, hashed, _, _ = sliced(data, starts, length)
-            text = np.searchsorted(starts, position, side="right") - 1
+            hashed, text = keys_of(data, starts)
             order = np.lexsort((text, hashed))
             hashed, text = hashed[order], text[order]
             once = np.append(True, (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])) if len(hashed) else np.zeros(0, bool)
