@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import HashTable, kept_rows
+from ._common import HashTable, kept_rows, parts_of
 
 #: Length of the longest context in bytes.
 ORDER = 3
@@ -115,7 +115,7 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER) -> Model:
 
 def training_texts(docs: DataFrame, where: Column) -> list[tuple[str, str]]:
     """At most ``TRAIN_TEXTS`` distinct texts of each language, those of least hash, of the rows for which ``where`` holds."""
-    rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).select("lang", "text")
+    rows = docs.filter(where & F.col("lang").isNotNull() & F.octet_length("text").between(1, TRAIN_BYTES)).select("lang", "text")
     found = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
     if len(found) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             langs, scores, rates = predicted(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rates)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept_rows, mixed, span_hashes, text_blocks
+from ._common import kept_rows, mixed, parts_of, span_hashes, text_blocks
 from .byte_bpe import LETTER, NUMBER, classes, point_values
 from .language_id import held_out
 
 BUCKETS = 1 << 18
 #: The bound on what is learned from: documents of each kind, and bytes of one; longer ones aren't learned from.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 600, 1500, 1 << 15
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 500, 1000, 1 << 14
 STEPS = 20
 #: Beginnings of a token that are features of it, besides the whole.
 PREFIXES = (4, 5, 6, 7)
@@ -136,7 +136,7 @@ def fit(texts: list[tuple[str, bool]]) -> Model | None:
     inner[at[:-1][np.diff(at) > 0]] = False
     inner = np.flatnonzero(inner)
     used, slot = np.unique(buckets, return_inverse=True)
-    slot = slot.reshape(buckets.shape)
+    slot = slot.reshape(buckets.shape).astype(np.int32)
     prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     w, trans, start = np.zeros(len(used)), np.zeros((2, 2)), prior
     trans[0, 1], trans[1, 0] = prior / 2, 0
@@ -204,7 +204,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             score, spans = scored(shared.value, batch.column(1).to_pylist())
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "score", "predicted", "spans"])
