@@ -4,9 +4,9 @@ One hash function maps a document's word shingles to 64 bits; the ``SKETCH`` lea
 equal sets are one class, which its smallest doc_id stands for. Sets as similar as asked share at least ``shared()``
 values of their sketches but for a chance below 1e-8, so each sketch is listed only under its rarest values, as many as
 any such pair must meet in; a frequent value lists only documents made of little else. In each list all are first tried
-with its smallest member, and then the pairs between components not yet joined: in SQL for lists up to ``SHORT_LIST``,
-block by block on the sketches for longer ones. A pair whose similarity, estimated on the union of the sketches, is
-within ``SLACK`` is verified on the full sets; verified links give the components.
+with its smallest member, and then the pairs between components not yet joined: in SQL for lists up to ``SHORT_LIST``, block by
+block for longer ones, which goes on the full sets at once. A pair whose similarity, estimated on the union of the
+sketches, is within ``SLACK`` is verified on the full sets; verified links give the components.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A text with fewer words than a shingle is one shingle; without
 words (or null) its set is empty and it is linked with nothing, as is a row without doc_id. Rows with one doc_id are one
@@ -156,9 +156,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     x, y = short.alias("x"), short.alias("y")
     apart = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & close(F.col("x.n"), F.col("y.n")))
     pairs = apart.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct()
-    more = estimated(pairs).select("u", "v").unionByName(_long_lists(rooted.filter(F.col("size") > short_list), reps, percent, k)).distinct()
-    more = written(more.join(best.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
-    links = written(links.unionByName(verified(more)), "links")
+    more = written(estimated(pairs).select("u", "v").join(best.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+    links = written(links.unionByName(verified(more)).unionByName(_long_lists(rooted.filter(F.col("size") > short_list), texts, words, percent)), "links")
     roots = components(links).withColumnRenamed("node", "rep")
 
     named = members.join(roots, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
@@ -176,35 +175,49 @@ def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80) ->
     return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
-def _long_lists(rows: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (u, v) of different components in long lists whose estimate allows for a link, block of ``BLOCK`` by block."""
+def _long_lists(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links (u, v) between different components in long lists, block of ``BLOCK`` by block, on the full sets.
+
+    A pair that shares several long lists is looked at in the one of least value.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    own = own.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n").join(reps.select("rep", "sketch"), "rep")
-    kind = reps.schema["rep"].dataType.simpleString()
+    own = own.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n")
+    held = rows.groupBy("rep").agg(F.collect_set("value").alias("listed"))
+    own = own.join(held, "rep").join(texts, "rep")
+    kind = texts.schema["rep"].dataType.simpleString()
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        value, i, j = (x.as_py() for x in key)
         order = np.lexsort((group.column("rep").to_numpy(), group.column("n").to_numpy()))
         group = group.take(pa.array(order))
-        ids, roots, n, block = (group.column(c).to_numpy() for c in ("rep", "root", "n", "block"))
-        held = [np.asarray(s, np.int64).view(np.uint64) for s in group.column("sketch").to_pylist()]
-        # an index of values: which rows hold each
-        flat, row = np.concatenate(held), np.repeat(np.arange(len(held)), [len(s) for s in held])
+        ids, roots, block = (group.column(c).to_numpy() for c in ("rep", "root", "block"))
+        # pairs left to look at: of different components, in different blocks or the only one, in no list before this
+        left = roots[:, None] != roots
+        if i != j:
+            left &= block[:, None] != block
+        before: dict[int, list[int]] = {}
+        for r, listed in enumerate(group.column("listed").to_pylist()):
+            for x in listed:
+                if x < value:
+                    before.setdefault(x, []).append(r)
+        for there in before.values():
+            left[np.ix_(there, there)] = False
+        sets = list(shingles(group.column("text").to_pylist(), words))
+        size = np.array([len(x) for x in sets])
+        left &= np.minimum(size[:, None], size) * 100 >= np.maximum(size[:, None], size) * percent
+        left = np.triu(left, 1)
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
         by_value = np.argsort(flat, kind="stable")
         flat, row = flat[by_value], row[by_value]
         us, vs = [], []
-        for r in range(len(ids)):
-            lo, hi = np.searchsorted(flat, held[r], "left"), np.searchsorted(flat, held[r], "right")
-            hits = np.bincount(np.concatenate([row[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(ids))
-            for q in np.flatnonzero(hits[r + 1 :] >= max(1, len(held[r]) * 21 // k // 2)) + r + 1:
-                if roots[q] == roots[r] or n[r] * 100 < n[q] * percent or (i != j and block[q] == block[r]):
-                    continue
-                union = np.union1d(held[r], held[q])[:k]
-                both = np.intersect1d(np.intersect1d(held[r], held[q], assume_unique=True), union, assume_unique=True)
-                if len(both) / len(union) >= percent / 100 - SLACK:
-                    us.append(min(ids[r], ids[q]))
-                    vs.append(max(ids[r], ids[q]))
+        for r in np.flatnonzero(left.any(1)).tolist():
+            lo, hi = np.searchsorted(flat, sets[r], "left"), np.searchsorted(flat, sets[r], "right")
+            spots = np.arange(int((hi - lo).sum())) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+            both = np.bincount(row[spots], minlength=len(ids))
+            good = np.flatnonzero(left[r] & (both * 100 >= percent * (size[r] + size - both)))
+            us += [ids[r]] * len(good)
+            vs += ids[good].tolist()
         return pa.table({"u": pa.array(us, group.schema.field("rep").type), "v": pa.array(vs, group.schema.field("rep").type)})
 
     return own.groupBy("value", "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
