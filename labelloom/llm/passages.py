@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import mixed, partitions, span_hashes, written
 from .components import components
-from .substrings import BUCKET_BYTES, _opened, blocks, expand, repeated_keys
+from .substrings import BUCKET_BYTES, _opened, blocks, open_sorted, repeated_keys
 
 WORDS, MIN_WORDS, HASHES, AGREEING = 5, 50, 6, 3
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -165,7 +165,7 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
         """Each text's first window of each repeated signature."""
         out = []
         got = right.to_pylist()
-        known = np.sort(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])) if got else np.zeros(0, np.uint64)
+        known = np.sort(np.concatenate([open_sorted(r["keys"]) for r in got])) if got else np.zeros(0, np.uint64)
         for row in left.to_pylist() if len(known) else []:
             data, starts, ids = _opened(row)
             hashes, at = tokens(data, starts)

@@ -48,6 +48,16 @@ def squeeze(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending 64-bit words, as differences, their bytes by significance."""
+    steps = np.diff(x, prepend=np.uint64(0))
+    return squeeze(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def open_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(expand(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def expand(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
@@ -230,9 +240,9 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _dealt(keys: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by bucket of the keys, and the buckets met with their bounds in it."""
+    """Order by bucket of the keys, then key, and the buckets met with their bounds in it."""
     bucket = (mixed(keys) % np.uint64(many)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((keys, bucket))
     met, first = np.unique(bucket[order], return_index=True)
     return order, met, np.append(first, len(order))
 
@@ -260,12 +270,12 @@ def repeated_keys(blocked: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray]
             keys, counts = np.unique(hashed[once], return_counts=True)
             order, met, bounds = _dealt(keys, buckets)
             keys, counts = keys[order], np.minimum(counts[order], 65535).astype(np.uint16)
-            yield pa.RecordBatch.from_pydict({"bucket": met, "block": np.full(len(met), row["block"]), "keys": [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], "counts": [squeeze(counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+            yield pa.RecordBatch.from_pydict({"bucket": met, "block": np.full(len(met), row["block"]), "keys": [pack_sorted(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], "counts": [squeeze(counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
 
     def meet(group: pa.Table) -> pa.Table:
         blocks_, keys, counts = [], [], []
         for row in group.to_pylist():
-            keys.append(np.frombuffer(row["keys"], np.uint64))
+            keys.append(open_sorted(row["keys"]))
             counts.append(expand(row["counts"], np.uint16))
             blocks_.append(np.full(len(keys[-1]), row["block"]))
         block, key, n = np.concatenate(blocks_), np.concatenate(keys), np.concatenate(counts).astype(np.int64)
@@ -274,18 +284,18 @@ def repeated_keys(blocked: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray]
         new = np.append(True, key[1:] != key[:-1])
         total = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
         key, block, total = key[total > 1], block[total > 1], total[total > 1]
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((key, block))
         key, block, total = key[order], block[order], total[order]
         met, first = np.unique(block, return_index=True)
         bounds = np.append(first, len(block))
         spans = list(zip(bounds[:-1], bounds[1:], strict=True))
-        return pa.table({"block": pa.array(met, pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()), "frequent": pa.array([squeeze(total[a:b] > frequent) for a, b in spans], pa.binary())})
+        return pa.table({"block": pa.array(met, pa.int64()), "keys": pa.array([pack_sorted(key[a:b]) for a, b in spans], pa.binary()), "frequent": pa.array([squeeze(total[a:b] > frequent) for a, b in spans], pa.binary())})
 
     counted = blocked.select("block", "texts", "starts", "ids").mapInArrow(count, "bucket long, block long, keys binary, counts binary")
     return counted.groupBy("bucket").applyInArrow(meet, "block long, keys binary, frequent binary")
 
 
-_SENT = "bucket long, block long, keys binary, names binary, bytes binary, low binary, high binary, least binary, most binary"
+_SENT = "bucket long, block long, frequent binary, bytes binary, low binary, high binary, least binary, most binary"
 
 
 def bucketed_strings(blocked: DataFrame, repeated: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -296,10 +306,11 @@ def bucketed_strings(blocked: DataFrame, repeated: DataFrame, length: int, bucke
         rows = right.to_pylist()
         for row in left.to_pylist() if rows else []:
             data, starts, ids = _opened(row)
-            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+            keys = np.concatenate([open_sorted(r["keys"]) for r in rows])
             many = np.concatenate([expand(r["frequent"], bool) for r in rows])
             order = np.argsort(keys)
             key, names, grid, low, high, _, text = described(data, starts, length, keys[order], many[order])
+            alone = key == names  # of a frequent anchor
             if not len(key):
                 continue
             order = np.argsort(names, kind="stable")
@@ -308,7 +319,7 @@ def bucketed_strings(blocked: DataFrame, repeated: DataFrame, length: int, bucke
             one = order[start]
             dealt, met, bounds = _dealt(key[one], buckets)
             pick = one[dealt]
-            columns = {"keys": key[pick], "names": names[pick], "bytes": grid[pick], "low": low[pick], "high": high[pick], "least": least[dealt], "most": most[dealt]}
+            columns = {"frequent": alone[pick], "bytes": grid[pick], "low": low[pick], "high": high[pick], "least": least[dealt], "most": most[dealt]}
             for bucket, a, b in zip(met.tolist(), bounds[:-1], bounds[1:], strict=True):
                 out["bucket"].append(bucket)
                 out["block"].append(row["block"])
@@ -325,13 +336,16 @@ def sorted_buckets(sent: DataFrame, length: int) -> DataFrame:
     width = span - 1 + length
 
     def run(group: pa.Table) -> pa.Table:
-        parts: dict[str, list] = {k: [] for k in ("block", "keys", "names", "bytes", "low", "high", "least", "most")}
+        parts: dict[str, list] = {k: [] for k in ("block", "frequent", "bytes", "low", "high", "least", "most")}
         for row in group.to_pylist():
-            for k, kind in (("keys", np.uint64), ("names", np.uint64), ("bytes", np.uint8), ("low", np.uint8), ("high", np.uint8), ("least", np.int64), ("most", np.int64)):
+            for k, kind in (("frequent", bool), ("bytes", np.uint8), ("low", np.uint8), ("high", np.uint8), ("least", np.int64), ("most", np.int64)):
                 parts[k].append(expand(row[k], kind))
-            parts["block"].append(np.full(len(parts["keys"][-1]), row["block"]))
-        block, key, name, low, high, least, most = (np.concatenate(parts[k]) for k in ("block", "keys", "names", "low", "high", "least", "most"))
+            parts["block"].append(np.full(len(parts["low"][-1]), row["block"]))
+        block, alone, low, high, least, most = (np.concatenate(parts[k]) for k in ("block", "frequent", "low", "high", "least", "most"))
         grid = np.concatenate(parts["bytes"]).reshape(-1, width)
+        name = row_hashes(grid, low, high)
+        anchor = np.ascontiguousarray(grid[:, span - 1 : span - 1 + GRAM])
+        key = np.where(alone, name, row_hashes(anchor, low * 0, high * 0))
         order = np.lexsort((name, key))
         found = []
         edges = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
@@ -405,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", freque
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows if r["keys"] is not None] or [np.zeros(0, np.uint64)])
+        keys = np.concatenate([open_sorted(r["keys"]) for r in rows if r["keys"] is not None] or [np.zeros(0, np.uint64)])
         many = np.concatenate([expand(r["frequent"], bool) for r in rows if r["keys"] is not None] or [np.zeros(0, bool)])
         order = np.argsort(keys)
         runs = [[expand(r[c], kind) for r in rows if r["names"] is not None] for c, kind in (("names", np.uint64), ("low", np.uint8), ("high", np.uint8), ("least", np.int64))]
