@@ -3,7 +3,7 @@
 Each run of ``GRAM`` bytes is hashed; of every ``WINDOW`` neighbouring hashes the least is selected, the rightmost of
 equal ones, and kept with its position. Two texts that share ``GRAM + WINDOW - 1`` bytes select a common hash there. A
 hash and its position are one long, hash above, position below and falling from left to right, so the least long of a
-window is its selection; window minima come from minima over windows half as long.
+window is its selection.
 
 A text shorter than a gram is one gram, one with fewer grams than a window is one window; null and empty texts have an
 empty fingerprint. The likeness of two fingerprints is the Jaccard similarity of their hashes, 1 for two empty ones.
@@ -18,32 +18,40 @@ from ._common import partitions
 
 GRAM, WINDOW = 12, 32
 _PLACE = 1 << 33
+_STEP = 4
 
 
 def _cell(part: Column, at: Column) -> Column:
-    """The hash of a gram and its position (from 1), as one long."""
-    return F.xxhash64(part).bitwiseAND(F.lit((1 << 30) - 1)) * F.lit(_PLACE) + (F.lit(_PLACE) - at)
+    """The hash of a gram and its position (from 1), as one long: the position is taken off, so later ones are less."""
+    return F.shiftleft(F.xxhash64(part), 33) - at
+
+
+def _position(cell: Column) -> Column:
+    """The position of a cell, from 0."""
+    return (-cell).bitwiseAND(F.lit(_PLACE - 1)) - 1
 
 
 def winnowed(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the selected cells of ``text``, an array of longs from left to right, as ``out``."""
-    raw = df.withColumn("_raw", F.col(text).cast("binary"))
-    n = F.octet_length(F.col("_raw"))
-    several = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: _cell(F.substring(F.col("_raw"), i, F.lit(GRAM)), i.cast("long")))
-    one = F.array(_cell(F.col("_raw"), F.lit(1).cast("long")))
-    cells = raw.withColumn("_m", F.when(n >= GRAM, several).when(n > 0, one).otherwise(F.array().cast("array<bigint>")))
+    """``df`` with the selected cells of ``text``, an array of longs from left to right, as ``out``.
+
+    The bytes are held in a lambda's variable: as a column they would be copied for each gram. Minima over a window come
+    in two steps, over ``_STEP`` neighbours and over as many of these as make up the window.
+    """
+    raw = F.col(text).cast("binary")
+    n = F.octet_length(text)
+    several = F.transform(F.array(raw), lambda r: F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: _cell(F.substring(r, i, F.lit(GRAM)), i.cast("long"))))[0]
+    one = F.array(_cell(raw, F.lit(1).cast("long")))
+    cells = df.withColumn("_m", F.when(n >= GRAM, several).when(n > 0, one).otherwise(F.array().cast("array<bigint>")))
     cells = cells.withColumn("_few", F.when(F.size("_m") < WINDOW, F.array_compact(F.array(F.array_min("_m")))))
-    width = 1
-    while width < WINDOW:
-        left = F.size("_m") - width
-        cells = cells.withColumn("_m", F.when(F.col("_few").isNull(), F.zip_with(F.slice("_m", F.lit(1), left), F.slice("_m", F.lit(width + 1), left), lambda x, y: F.least(x, y))))
-        width *= 2
-    return cells.withColumn(out, F.coalesce("_few", F.array_distinct("_m"))).drop("_raw", "_m", "_few")
+    near = lambda width, step: F.slice(F.transform("_m", lambda x, i: F.least(x, *(F.get(F.col("_m"), i + j) for j in range(step, width, step)))), F.lit(1), F.size("_m") - (width - 1))
+    cells = cells.withColumn("_m", F.when(F.col("_few").isNull(), near(_STEP, 1)))
+    cells = cells.withColumn("_m", F.when(F.col("_few").isNull(), near(WINDOW - _STEP + 1, _STEP)))
+    return cells.withColumn(out, F.coalesce("_few", F.array_distinct("_m"))).drop("_m", "_few")
 
 
 def fingerprint(cells: str) -> Column:
     """The fingerprint as a string: ``hash:position`` of each selection, positions in bytes from 0."""
-    return F.array_join(F.transform(F.col(cells), lambda x: F.concat(F.hex(F.shiftright(x, 33)), F.lit(":"), (F.lit(_PLACE - 1) - x.bitwiseAND(F.lit(_PLACE - 1))).cast("string"))), " ")
+    return F.array_join(F.transform(F.col(cells), lambda x: F.concat(F.hex(F.shiftright(x, 33).bitwiseAND(F.lit((1 << 31) - 1))), F.lit(":"), _position(x).cast("string"))), " ")
 
 
 def hashes(cells: str) -> Column:
@@ -62,7 +70,7 @@ def shared_passages(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def rows(df: DataFrame, tag: str) -> DataFrame:
         own = df.select(F.col("doc_id").alias(f"doc_{tag}"), F.explode("cells").alias("cell"))
-        return own.select(f"doc_{tag}", F.shiftright("cell", 33).alias("hash"), (F.lit(_PLACE - 1) - F.col("cell").bitwiseAND(F.lit(_PLACE - 1))).alias(f"at_{tag}"))
+        return own.select(f"doc_{tag}", F.shiftright("cell", 33).alias("hash"), _position(F.col("cell")).alias(f"at_{tag}"))
 
     return rows(left, "a").join(rows(right, "b"), "hash").select("doc_a", "at_a", "doc_b", "at_b")
 
