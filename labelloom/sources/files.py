@@ -181,7 +181,7 @@ def read_model_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_weight_lines(spark: SparkSession, path: str, first_label: int = 0, sparse: bool = False, n_features: int | None = None) -> DataFrame:
     """Text weights, a line a label (empty lines count): dense numbers or index:value pairs. Zeros are dropped."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("label_id", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("label_id", "line"))
     lines = lines.withColumn("label_id", (F.col("label_id") + first_label).cast("bigint"))
     if sparse:
         cells = lines.select("label_id", F.explode(formats.parse_pairs(F.col("line"))).alias("x")).select("label_id", F.col("x.index").alias("feature_id"), F.col("x.value").alias("w"))
