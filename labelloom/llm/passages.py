@@ -5,13 +5,13 @@ the node of the Cartesian tree over a text's token hashes whose subtree spans at
 all subsequences within it that hold the node's token have that token's hash as their signature. There are about two
 such windows a passage length and function, so they stand for all subsequences. Windows of different texts with one
 signature are joined on it, each text with the first of all blocks and the first of its own; pairs of texts in which
-the windows of at least ``AGREEING`` functions meet are candidates. Within the windows of a pair the stretch of common
-tokens (four of five or more) is taken from the one text and its extent from the other, and the pair stands if the
-exact Jaccard similarity of the two passages is ``percent`` / 100 or more.
+the windows of at least ``AGREEING`` functions meet are candidates. Their stretches of common tokens (four of five or
+more) in the one text are held against those in the other, and all stand as passages whose exact Jaccard similarity is
+``percent`` / 100 or more; one that falls short is cut at its widest gap and its parts are tried again.
 
 Texts that are equal are one, which the smallest doc_id stands for. Null and short texts have no passages; words are
 ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Rows without doc_id are linked
-with nothing. Of several passages that a pair of texts shares, the longest stretch is reported.
+with nothing.
 """
 
 from __future__ import annotations
@@ -110,39 +110,78 @@ def compact_windows(hashes: np.ndarray, at: np.ndarray, function: int, least: in
     return mixed(own[node] ^ _SEEDS[-1 - function]), node
 
 
-def aligned(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> tuple[int, int, int, int, float] | None:
-    """The stretch of ``a`` of most common tokens, the extent of these in ``b``, and the similarity of the two; none if short or unlike."""
-    order = np.argsort(b, kind="stable")
-    spot = np.searchsorted(b[order], a).clip(0, len(b) - 1)
-    common = b[order][spot] == a
-    gain = np.where(common, 1, -4)
-    total = np.append(0, np.cumsum(gain))
-    floor = np.minimum.accumulate(total)
-    end = int(np.argmax(total[1:] - floor[:-1])) + 1
-    begin = int(np.argmin(total[:end]))
-    hits = spot[begin:end][common[begin:end]]
-    if end - begin < least * percent // 100 or not len(hits):
-        return None
-    places = order[hits]
-    # common tokens may also stand elsewhere in b: take those near the middle one's diagonal
-    shift = places - (np.flatnonzero(common[begin:end]) + begin)
-    near = places[np.abs(shift - np.median(shift)) <= max(8, (end - begin) // 4)]
-    if not len(near):
-        return None
-    x, y = int(near.min()), int(near.max()) + 1
-    one, two = np.unique(a[begin:end]), np.unique(b[x:y])
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    union = len(one) + len(two) - both
-    if 100 * both < percent * union or max(end - begin, y - x) < least:
-        return None
-    return begin, end, x, y, both / union
+def stretches(common: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """All maximal stretches of most common tokens (+1 common, -4 not) that have ``least`` tokens or more, by the method of Ruzzo and Tompa."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], common.view(np.int8), [0]])))
+    begins, ends = edge[::2].tolist(), edge[1::2].tolist()
+    out, open_ = [], []  # open: begin, end, total before, total after
+    total = last = lowest = 0
+    for begin, end in zip(begins, ends, strict=True):
+        total -= 4 * (begin - last)
+        last = end
+        if total <= lowest:  # none of those before can be joined any more
+            lowest = total
+            out += open_
+            open_ = []
+        now = (begin, end, total, total + end - begin)
+        total = now[3]
+        while True:
+            k = len(open_) - 1
+            while k >= 0 and open_[k][2] >= now[2]:
+                k -= 1
+            if k < 0 or open_[k][3] >= now[3]:
+                open_.append(now)
+                break
+            now = (open_[k][0], now[1], open_[k][2], now[3])
+            del open_[k:]
+    return [(x[0], x[1]) for x in out + open_ if x[1] - x[0] >= least]
+
+
+def _widest_gap(common: np.ndarray) -> tuple[int, int, int]:
+    """Length, begin and end of the longest stretch without a common token, of equal ones that nearest the middle; length 0 if there is none."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (~common).view(np.int8), [0]])))
+    begin, end = edge[::2], edge[1::2]
+    if not len(begin):
+        return 0, 0, 0
+    k = np.lexsort((np.abs(begin + end - len(common)), begin - end))[0]
+    return int(end[k] - begin[k]), int(begin[k]), int(end[k])
+
+
+def shared_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """Stretches of ``a`` and of ``b`` that stand as passages, with their similarity.
+
+    A stretch of the one is held against all stretches of the other with its tokens until the two fit. Two that fit but
+    are unlike are cut at the widest gap, and both parts tried again.
+    """
+    short = least * percent // 100
+    out, left = [], [(0, len(a), 0, len(b), False)]
+    while left:
+        lo, hi, x, y, fit = left.pop()
+        one, two = a[lo:hi], b[x:y]
+        if not fit:
+            for i, j in stretches(np.isin(one, two), short):
+                for k, m in stretches(np.isin(two, one[i:j]), short):
+                    same = (i, j, k, m) == (0, hi - lo, 0, y - x)
+                    left.append((lo + i, lo + j, x + k, x + m, same))
+            continue
+        if max(hi - lo, y - x) < least:
+            continue
+        first, second = np.unique(one), np.unique(two)
+        both = len(np.intersect1d(first, second, assume_unique=True))
+        union = len(first) + len(second) - both
+        if 100 * both >= percent * union:
+            out.append((lo, hi, x, y, both / union))
+            continue
+        (n, i, j), (m, k, h) = _widest_gap(np.isin(one, two)), _widest_gap(np.isin(two, one))
+        left += [(lo, lo + i, x, y, False), (lo + j, hi, x, y, False)] if n >= m else [(lo, hi, x, x + k, False), (lo, hi, x + h, y, False)]
+    return sorted(set(out))
 
 
 def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, functions: int = HASHES, agreeing: int = AGREEING) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text) with a doc_id: doc_id, n_passages, component_id, and passages.
 
     passages: begin and end in words, the other document with its begin and end, and the similarity, for the earlier
-    documents a text was tried with; component_id is the smallest doc_id reached over such links (and equal texts).
+    documents a text was tried with, several where they share several; component_id is the smallest doc_id reached over such links (and equal texts).
     """
     least = min_words - WORDS + 1
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -162,7 +201,7 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
     repeated = written(repeated_keys(blocked, keys_of, max(partitions(docs.sparkSession), int(total // BUCKET_BYTES)), 1 << 60), "signatures")
 
     def window_rows(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Each text's first window of each repeated signature."""
+        """Each text's repeated signatures, once each, with the first text of the block that has them."""
         out = []
         got = right.to_pylist()
         known = np.sort(np.concatenate([open_sorted(r["keys"]) for r in got])) if got else np.zeros(0, np.uint64)
@@ -170,49 +209,47 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
             data, starts, ids = _opened(row)
             hashes, at = tokens(data, starts)
             for f in range(functions):
-                own = mixed(hashes ^ _SEEDS[f])
                 key, node = compact_windows(hashes, at, f, least)
                 mine = known[np.searchsorted(known, key).clip(0, len(known) - 1)] == key
-                key, node = key[mine], node[mine]
-                low, high = extents(own, at, node)
-                text = np.searchsorted(at, node, side="right") - 1
-                order = np.lexsort((node, ids[text], key))
-                key, low, high, text = key[order], low[order], high[order], text[order]
-                one = np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])) if len(key) else np.zeros(0, bool)
-                key, low, high, text = key[one], low[one], high[one], text[one]
+                key, doc = key[mine], ids[np.searchsorted(at, node[mine], side="right") - 1]
+                order = np.lexsort((doc, key))
+                key, doc = key[order], doc[order]
+                one = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
+                key, doc = key[one], doc[one]
                 new = np.append(True, key[1:] != key[:-1]) if len(key) else one
                 first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
-                shift = at[text]
-                out.append(pa.table({"key": key.view(np.int64), "f": np.full(len(key), f, np.int32), "doc": ids[text], "low": (low - shift).astype(np.int32), "high": (high - shift).astype(np.int32), "near": ids[text][first], "near_low": (low - shift)[first].astype(np.int32), "near_high": (high - shift)[first].astype(np.int32)}))
+                out.append(pa.table({"key": key.view(np.int64), "f": np.full(len(key), f, np.int32), "doc": doc, "near": doc[first]}))
         return pa.concat_tables(out) if out else pa.schema(_WINDOW).empty_table()
 
-    kinds = "key long, f int, doc long, low int, high int, near long, near_low int, near_high int"
-    windows = written(blocked.select("block", "texts", "starts", "ids").groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(window_rows, kinds), "windows")
-    first = written(windows.groupBy("key").agg(F.min(F.struct("doc", "low", "high")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("key", "p.*").toDF("key", "near", "near_low", "near_high"), "first")
-    local = windows.filter("near <> doc").select("f", "doc", "low", "high", "near", "near_low", "near_high")
-    wide = windows.select("key", "f", "doc", "low", "high").join(first, "key").filter("near < doc").select(local.columns)
-    pairs = local.unionByName(wide).distinct().groupBy("doc", "near").agg(F.count_distinct("f").alias("functions"), *(F.min(c).alias(c) for c in ("low", "near_low")), *(F.max(c).alias(c) for c in ("high", "near_high")))
+    windows = written(blocked.select("block", "texts", "starts", "ids").groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(window_rows, "key long, f int, doc long, near long"), "windows")
+    first = written(windows.groupBy("key").agg(F.min("doc").alias("near"), F.count("*").alias("n")).filter("n > 1"), "first")
+    local = windows.filter("near <> doc").select("f", "doc", "near")
+    wide = windows.select("key", "f", "doc").join(first.select("key", "near"), "key").filter("near < doc").select(local.columns)
+    pairs = local.unionByName(wide).distinct().groupBy("doc", "near").agg(F.count_distinct("f").alias("functions"))
     pairs = written(pairs.filter(F.col("functions") >= agreeing).drop("functions"), "pairs")
-    wanted = pairs.select(F.col("doc").alias("doc_id")).unionByName(pairs.select(F.col("near").alias("doc_id"))).distinct()
-    held = written(only.join(wanted, "doc_id"), "held")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = ([np.frombuffer((t or "").encode(), np.uint8) for t in batch.column(c).to_pylist()] for c in (6, 7))
+            one, two = ([np.frombuffer((t or "").encode(), np.uint8) for t in batch.column(c).to_pylist()] for c in (2, 3))
             sizes = np.cumsum([0, *(len(x) for x in one + two)])
             hashes, at = tokens(np.concatenate([*one, *two]) if sizes[-1] else np.zeros(0, np.uint8), sizes)
-            n, out = batch.num_rows, []
-            low, high, near_low, near_high = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
+            n, out, row = batch.num_rows, [], []
             for i in range(n):
-                a, b = hashes[at[i] : at[i + 1]], hashes[at[n + i] : at[n + i + 1]]
-                got = aligned(a[low[i] : high[i] + 1], b[near_low[i] : near_high[i] + 1], least, percent)
-                out.append(got and (low[i] + got[0], low[i] + got[1] + WORDS - 1, near_low[i] + got[2], near_low[i] + got[3] + WORDS - 1, got[4]))
-            good = pa.array([x is not None for x in out], pa.bool_())
-            columns = list(zip(*(x for x in out if x), strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), *(pa.array(c, pa.int32()) for c in columns[:4]), pa.array(columns[4], pa.float64())], ["doc", "near", "begin", "end", "near_begin", "near_end", "similarity"])
-
-    joined = pairs.join(held.select(F.col("doc_id").alias("doc"), F.col("text").alias("x")), "doc").join(held.select(F.col("doc_id").alias("near"), F.col("text").alias("y")), "near")
-    links = written(joined.select("doc", "near", "low", "high", "near_low", "near_high", "x", "y").mapInArrow(verify, "doc long, near long, begin int, end int, near_begin int, near_end int, similarity double"), "links")
+                got = shared_passages(hashes[at[i] : at[i + 1]], hashes[at[n + i] : at[n + i + 1]], least, percent)
+                out += [(begin, end + WORDS - 1, x, y + WORDS - 1, similarity) for begin, end, x, y, similarity in got]
+                row += [i] * len(got)
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(c, pa.int32()) for c in columns[:4]), pa.array(columns[4], pa.float64())], ["doc", "near", "begin", "end", "near_begin", "near_end", "similarity"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The passages that the texts of the pairs (doc, near) share."""
+        wanted = pairs.select(F.col("doc").alias("doc_id")).unionByName(pairs.select(F.col("near").alias("doc_id"))).distinct()
+        held = written(only.join(wanted, "doc_id"), "held")
+        joined = pairs.join(held.select(F.col("doc_id").alias("doc"), F.col("text").alias("x")), "doc").join(held.select(F.col("doc_id").alias("near"), F.col("text").alias("y")), "near")
+        return joined.select("doc", "near", "x", "y").mapInArrow(verify, "doc long, near long, begin int, end int, near_begin int, near_end int, similarity double")
+
+    links = written(verified(pairs), "links")
     root = components(links.select(F.col("doc").alias("u"), F.col("near").alias("v"))).select(F.col("node").alias("rep"), "root")
     listed = links.groupBy(F.col("doc").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", F.col("near").alias("other"), "near_begin", "near_end", "similarity"))).alias("passages"))
     kind = listed.schema["passages"].dataType
@@ -222,4 +259,4 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
     return found.unionByName(unnamed).select("doc_id", F.size(passages).alias("n_passages"), F.coalesce("root", "rep").alias("component_id"), passages.alias("passages"))
 
 
-_WINDOW = [("key", pa.int64()), ("f", pa.int32()), ("doc", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("near", pa.int64()), ("near_low", pa.int32()), ("near_high", pa.int32())]
+_WINDOW = [("key", pa.int64()), ("f", pa.int32()), ("doc", pa.int64()), ("near", pa.int64())]

@@ -219,6 +219,18 @@ def test_passages(spark):
     assert passages.near_passages(frame(spark, [])).count() == 0
 
 
+def test_all_passages_of_a_pair(spark):
+    draw = random.Random(3)
+    word = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    edited = lambda x: [f"c{i}" if i % 20 == 19 else t for i, t in enumerate(x)]
+    left, core, right, second = word(120), word(64), word(120), word(90)
+    # flanks too unlike to stand with the core, and another passage far off
+    rows = [(1, " ".join(left + core + right + word(300) + second)), (2, " ".join(second + word(40) + edited(left) + core + edited(right)))]
+    found = [(p.begin, p.end, p.near_begin, p.near_end) for r in passages.near_passages(frame(spark, rows, 1)).collect() for p in r.passages]
+    assert (0, 90, 604, 694) in found
+    assert any(begin <= 250 and end >= 314 and x <= 120 and y >= 184 for begin, end, x, y in found)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     start, columns = docs.count(), docs.columns
