@@ -4,14 +4,15 @@ A passage is ``MIN_WORDS`` words or more; its tokens are its five-word shingles.
 the node of the Cartesian tree over a text's token hashes whose subtree spans at least a passage is a compact window:
 all subsequences within it that hold the node's token have that token's hash as their signature. There are about two
 such windows a passage length and function, so they stand for all subsequences. Windows of different texts with one
-signature are joined on it, each text with the first of all blocks and the first of its own; pairs of texts in which
-the windows of at least ``AGREEING`` functions meet are candidates. Their stretches of common tokens (four of five or
-more) in the one text are held against those in the other, and all stand as passages whose exact Jaccard similarity is
-``percent`` / 100 or more; one that falls short is cut at its widest gap and its parts are tried again.
+signature are joined on it, each text with the first of all blocks and the first of its own, and then, of the texts that
+verified pairs don't connect, each with each; pairs of texts in which the windows of at least ``AGREEING`` functions meet
+are candidates. Their stretches of common tokens (four of five or more) in the one text are held against those in the
+other, and all stand as passages whose exact Jaccard similarity is ``percent`` / 100 or more; one that falls short is
+cut at its widest gap and its parts are tried again.
 
 Texts that are equal are one, which the smallest doc_id stands for. Null and short texts have no passages; words are
 ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Rows without doc_id are linked
-with nothing.
+with nothing. Pairs of texts that others connect already are tried only where one is the first of the signatures.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from .components import components
 from .substrings import BUCKET_BYTES, _opened, blocks, open_sorted, repeated_keys
 
 WORDS, MIN_WORDS, HASHES, AGREEING = 5, 50, 6, 3
+#: Signatures of up to so many texts pair these in SQL; longer lists go block by block.
+SHORT_LIST = 64
+BLOCK = 4096
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SEEDS = mixed(np.arange(1, 65, dtype=np.uint64))
 
@@ -249,8 +253,11 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
         joined = pairs.join(held.select(F.col("doc_id").alias("doc"), F.col("text").alias("x")), "doc").join(held.select(F.col("doc_id").alias("near"), F.col("text").alias("y")), "near")
         return joined.select("doc", "near", "x", "y").mapInArrow(verify, "doc long, near long, begin int, end int, near_begin int, near_end int, similarity double")
 
+    edges = lambda links: links.select(F.col("doc").alias("u"), F.col("near").alias("v"))
     links = written(verified(pairs), "links")
-    root = components(links.select(F.col("doc").alias("u"), F.col("near").alias("v"))).select(F.col("node").alias("rep"), "root")
+    more = _apart(windows, first, components(edges(links)), agreeing).join(pairs, ["doc", "near"], "left_anti")
+    links = written(links.unionByName(verified(written(more, "pairs"))), "links")
+    root = components(edges(links)).select(F.col("node").alias("rep"), "root")
     listed = links.groupBy(F.col("doc").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", F.col("near").alias("other"), "near_begin", "near_end", "similarity"))).alias("passages"))
     kind = listed.schema["passages"].dataType
     found = members.join(root, "rep", "left").join(listed, "rep", "left").select("doc_id", "rep", "root", "passages")
@@ -259,4 +266,55 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
     return found.unionByName(unnamed).select("doc_id", F.size(passages).alias("n_passages"), F.coalesce("root", "rep").alias("component_id"), passages.alias("passages"))
 
 
+def _apart(windows: DataFrame, first: DataFrame, roots: DataFrame, agreeing: int) -> DataFrame:
+    """The pairs (doc, near) of different components in which the signatures of ``agreeing`` functions or more meet.
+
+    Pairs with a signature of at most ``SHORT_LIST`` texts are met in SQL. Those that have but longer ones are met in the
+    rarest of these, block by block; there only texts with longer lists of enough other functions count.
+    """
+    rooted = windows.select("key", "f", "doc").join(first.select("key", "n"), "key").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    unlike = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    rooted = written(rooted.join(unlike, "key"), "rooted")
+    short, long = rooted.filter(F.col("n") <= SHORT_LIST), rooted.filter(F.col("n") > SHORT_LIST)
+    held = written(long.groupBy("doc").agg(F.collect_list(F.struct("f", "n", "key")).alias("listed")), "listed")
+
+    x, y = short.alias("x"), short.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.root") != F.col("y.root")))
+    met = met.groupBy(F.col("x.doc").alias("doc"), F.col("y.doc").alias("near")).agg(F.collect_set("x.f").alias("fs"))
+    met = met.join(held.withColumnRenamed("listed", "a"), "doc", "left").join(held.select(F.col("doc").alias("near"), F.col("listed").alias("b")), "near", "left")
+    both = F.coalesce(F.transform(F.array_intersect("a", "b"), lambda v: v["f"]), F.array().cast("array<int>"))
+    met = met.filter(F.size(F.array_union("fs", both)) >= agreeing).select("doc", "near")
+
+    longer = F.filter("listed", lambda v: (v["f"] != F.col("f")) & (F.struct(v["n"], v["key"]) > F.struct("n", "key")))
+    dealt = long.join(held, "doc").filter(F.size(F.array_distinct(F.transform(longer, lambda v: v["f"]))) >= agreeing - 1)
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "size")
+    blocks_ = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = dealt.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), blocks_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root", F.transform("listed", lambda v: v["f"]).alias("fs"), F.transform("listed", lambda v: v["key"]).alias("keys"))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        _, i, j = (x.as_py() for x in key)
+        ids, roots, block = (group.column(c).to_numpy() for c in ("doc", "root", "block"))
+        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        spots: dict[int, dict[int, list[int]]] = {}
+        for r, (fs, keys) in enumerate(zip(group.column("fs").to_pylist(), group.column("keys").to_pylist(), strict=True)):
+            for f, k in zip(fs, keys, strict=True):
+                spots.setdefault(f, {}).setdefault(k, []).append(r)
+        place = np.empty(len(ids), np.int64)
+        place[columns] = np.arange(len(columns))
+        row_place = np.empty(len(ids), np.int64)
+        row_place[rows] = np.arange(len(rows))
+        functions = np.zeros((len(rows), len(columns)), np.uint8)
+        for own in spots.values():
+            meet = np.zeros(functions.shape, bool)
+            for there in (np.array(x) for x in own.values() if len(x) > 1):
+                meet[np.ix_(row_place[there[block[there] == i]], place[there[block[there] == j]])] = True
+            functions += meet
+        a, b = np.nonzero((functions >= agreeing) & (roots[rows][:, None] != roots[columns]))
+        a, b = ids[rows[a]], ids[columns[b]]
+        return pa.table({"doc": np.maximum(a, b), "near": np.minimum(a, b)})
+
+    return met.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(run, "doc long, near long")).distinct()
+
+
 _WINDOW = [("key", pa.int64()), ("f", pa.int32()), ("doc", pa.int64()), ("near", pa.int64())]
