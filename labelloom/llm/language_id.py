@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import HashTable, kept_rows, parts_of
+from ._common import HashTable, kept_rows, parts_of, written
 
 #: Length of the longest context in bytes.
 ORDER = 3
-#: The bound on what is learned from: texts of each language, and bytes of a text; longer texts aren't learned from.
+#: The bound on what is learned from: texts of each language, and bytes of a text.
 TRAIN_TEXTS, TRAIN_BYTES = 300, 1 << 15
 #: More languages than this are an error.
 LANGUAGES = 256
@@ -114,23 +114,39 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER) -> Model:
 
 
 def training_texts(docs: DataFrame, where: Column) -> list[tuple[str, str]]:
-    """At most ``TRAIN_TEXTS`` distinct texts of each language, those of least hash, of the rows for which ``where`` holds."""
-    rows = docs.filter(where & F.col("lang").isNotNull() & F.octet_length("text").between(1, TRAIN_BYTES)).select("lang", "text")
-    found = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    """``TRAIN_TEXTS`` distinct texts of each language, or all there are, of the rows for which ``where`` holds.
+
+    Those of least hash; longer texts than ``TRAIN_BYTES`` only where there are too few others, and then their beginning.
+    """
+    rows = docs.filter(where & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    rows = rows.select("lang", "text", (F.octet_length("text") > TRAIN_BYTES).alias("long"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
+    distinct = written(rows.select("lang", "long", "h").distinct(), "hashes")
+    found = distinct.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).limit(LANGUAGES + 1).collect()
     if len(found) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
     if not found:
         return []
-    # about four times as many as are needed; the hash is spread evenly, so these are few rows
-    share = F.lit(1.0)
+    # about four times as many as are needed; the hash is spread evenly over distinct texts, so these are few rows
+    quotas: dict[tuple[str, bool], int] = {}
+    share = F.lit(0.0)
     for row in found:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, max(4 * TRAIN_TEXTS, 64) / row["count"]))).otherwise(share)
-    some = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1)).filter(F.col("h") / float(1 << 63) <= share)
-    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    out: list[tuple[str, str]] = []
-    for row in found:
-        out += [(r["lang"], r["text"]) for r in some.filter(F.col("lang") == row["lang"]).orderBy("h").limit(TRAIN_TEXTS).collect()]
-    return out
+        quotas[row["lang"], False] = min(TRAIN_TEXTS, row["short"])
+        quotas[row["lang"], True] = min(TRAIN_TEXTS - quotas[row["lang"], False], row["long"])
+        for long in (False, True):
+            quota = quotas[row["lang"], long]
+            if quota:
+                part = min(1.0, max(4 * quota, 64) / row["long" if long else "short"])
+                share = F.when((F.col("lang") == row["lang"]) & (F.col("long") == long), F.lit(part)).otherwise(share)
+    few: dict[tuple[str, bool], list[int]] = {}
+    for r in distinct.filter(F.col("h") / float(1 << 63) <= share).collect():
+        few.setdefault((r["lang"], r["long"]), []).append(r["h"])
+    chosen = [(lang, long, h) for (lang, long), hashes in few.items() for h in sorted(hashes)[: quotas[lang, long]]]
+    if not chosen:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, long boolean, h long"))
+    some = rows.join(wanted, ["lang", "long", "h"]).withColumn("text", F.substring("text", 1, TRAIN_BYTES))
+    got = some.groupBy("lang", "long", "h").agg(F.min("text").alias("text")).collect()
+    return [(r["lang"], r["text"].encode()[:TRAIN_BYTES].decode(errors="ignore")) for r in sorted(got, key=lambda r: (r["lang"], r["long"], r["h"]))]
 
 
 def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labelloom.llm import byte_bpe, language_id, packing, queries, toxicity, warc
@@ -147,6 +148,18 @@ def test_warc_rejects_damage():
         warc.parse_record(records[0].replace(b"AAAA", b"AAAB", 1))
 
 
+def test_training_texts_of_copies_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_TEXTS", 20)
+    copies = [(i, "de", "immer das gleiche") for i in range(30_000)] + [(10**6 + i, "de", f"anderer text {i}") for i in range(25)]
+    long = [(2 * 10**6 + i, "fr", f"é{i} " + "été " * 10_000) for i in range(3)] + [(3 * 10**6, "fr", "un texte court"), (3 * 10**6 + 1, "fr", None), (3 * 10**6 + 2, "fr", "")]
+    docs = spark.createDataFrame(copies + long, "doc_id long, lang string, text string")
+    got = language_id.training_texts(docs, F.lit(True))
+    german, french = ({t for lang, t in got if lang == x} for x in ("de", "fr"))
+    assert len(german) == 20 and len(french) == 4 and len(got) == 24
+    assert "un texte court" in french and max(len(t.encode()) for t in french) in (language_id.TRAIN_BYTES - 1, language_id.TRAIN_BYTES)
+    assert language_id.training_texts(docs.filter("text is null"), F.lit(True)) == []
+
+
 def test_context_trees_by_hand():
     texts = [("a", "abab abba"), ("a", "bbb"), ("b", "xyxy zz"), ("b", "abz")]
     model = language_id.fit(texts, order=2)
