@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,48 @@ def single_positive(features: DataFrame, labels: DataFrame, meta: DataFrame, pos
     return row.crossJoin(mean).join(x, ["label_id", "feature_id"], "left").select("label_id", "feature_id", (F.col("a") * F.col("mean") + F.col("b") * F.coalesce("value", F.lit(0.0))).alias("w"))
 
 
+def multi_positive(features: DataFrame, labels: DataFrame, meta: DataFrame, universe: DataFrame, max_pos: int, pos: float = 1.0, neg: float = -2.0, ridge: float = 0.01) -> DataFrame:
+    """Labels of at most ``max_pos`` positive examples x_i: w = a_0 (mean - sum x_i / N) + sum a_i x_i, from the ridge Gram system of these vectors with targets ``neg`` and ``pos``.
+
+    All other labels get mean-separating weights.
+    """
+    sizes = universe.select("label_id").join(labels.groupBy("label_id").agg(F.count("*").alias("n_pos")), "label_id", "left").fillna(0, ["n_pos"])
+    few = labels.join(sizes.filter(F.col("n_pos") <= max_pos), "label_id", "left_semi").select("label_id", "example_id")
+    many = labels.join(sizes.filter(F.col("n_pos") > max_pos), "label_id", "left_semi")
+    mean = mean_feature(features, meta)
+    x = features.join(few, "example_id").select("label_id", "example_id", "feature_id", "value")
+    y = x.select("label_id", F.col("example_id").alias("other"), "feature_id", F.col("value").alias("value2"))
+    pairs = x.join(y, ["label_id", "feature_id"]).groupBy("label_id", "example_id", "other").agg(F.sum(F.col("value") * F.col("value2")).alias("dot"))
+    means = x.join(mean, "feature_id").groupBy("label_id", "example_id").agg(F.sum(F.col("value") * F.col("mean")).alias("dot"))
+    means = few.join(means, ["label_id", "example_id"], "left").select("label_id", "example_id", F.lit(None).cast("bigint").alias("other"), F.coalesce("dot", F.lit(0.0)).alias("dot"))
+    empty = sizes.filter("n_pos = 0").select("label_id", F.lit(None).cast("bigint").alias("example_id"), F.lit(None).cast("bigint").alias("other"), F.lit(0.0).alias("dot"))
+    row = one_row(one_row(pairs.unionByName(means).unionByName(empty), mean.agg(F.sum(F.col("mean") * F.col("mean")).alias("mm"))), meta.select("n_examples"))
+
+    def solve(group: pa.Table) -> pa.Table:
+        got = group.to_pylist()
+        ids = sorted({r["example_id"] for r in got if r["example_id"] is not None})
+        at, k, n = {e: i for i, e in enumerate(ids)}, len(ids), got[0]["n_examples"]
+        dots, xm = np.zeros((k, k)), np.zeros(k)
+        for r in got:
+            if r["other"] is not None:
+                dots[at[r["example_id"]], at[r["other"]]] = r["dot"]
+            elif r["example_id"] is not None:
+                xm[at[r["example_id"]]] = r["dot"]
+        # as the reference does: of the positives' products with each other only the squares count for the negatives'
+        gram = np.empty((k + 1, k + 1))
+        gram[0, 0] = got[0]["mm"] + np.trace(dots) / n / n - 2 * xm.sum() / n
+        gram[0, 1:] = gram[1:, 0] = xm - dots.sum(0) / n
+        gram[1:, 1:] = dots
+        a = np.linalg.solve(gram + ridge * np.eye(k + 1), np.array([neg] + [pos] * k))
+        return pa.table({"label_id": pa.array([got[0]["label_id"]] * (k + 1), pa.int64()), "example_id": pa.array([None, *ids], pa.int64()), "a": pa.array([a[0], *(a[1:] - a[0] / n)])})
+
+    factors = row.groupBy("label_id").applyInArrow(solve, "label_id long, example_id long, a double")
+    common = factors.filter("example_id is null").select("label_id", "a").crossJoin(mean).select("label_id", "feature_id", (F.col("a") * F.col("mean")).alias("w"))
+    own = factors.join(x, ["label_id", "example_id"]).select("label_id", "feature_id", (F.col("a") * F.col("value")).alias("w"))
+    solved = common.unionByName(own).groupBy("label_id", "feature_id").agg(F.sum("w").alias("w"))
+    return solved.unionByName(mean_separating(features, many, meta, pos, neg))
+
+
 def stacked(dense: DataFrame, sparse: DataFrame, dense_width: int) -> DataFrame:
     """Head from one table, tail from another."""
     return dense.unionByName(sparse.withColumn("feature_id", F.col("feature_id") + dense_width))

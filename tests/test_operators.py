@@ -170,6 +170,33 @@ def test_mean_separating_means(spark):
     assert x[:7].mean(0) @ v == pytest.approx(1) and x.mean(0) @ v == pytest.approx(7 / 30 * 3 - 2)
 
 
+def test_multi_positive(spark):
+    rng = np.random.default_rng(6)
+    n, width, held = 30, 5, {0: [], 1: [4], 2: [4, 9], 3: [1, 2, 29], 4: list(range(7))}
+    x = rng.standard_normal((n, width)) + 0.5
+    x[29] = 0  # an example without features
+    f = entries(spark, [(i, j, float(x[i, j])) for i in range(29) for j in range(width)])
+    y = spark.createDataFrame([(i, label) for label, ids in held.items() for i in ids], "example_id long, label_id long")
+    meta = spark.createDataFrame([(n, width, len(held))], "n_examples long, n_features long, n_labels long")
+    got = {}
+    for r in initial.multi_positive(f, y, meta, spark.range(len(held)).toDF("label_id"), 3).collect():
+        assert got.setdefault((r.label_id, r.feature_id), r.w) == r.w
+    assert len(got) == len(held) * width
+    w = np.array([[got[label, j] for j in range(width)] for label in held])
+    mean = x.mean(0)
+    for label in range(4):
+        own = x[held[label]]
+        k = len(own)
+        gram = np.zeros((k + 1, k + 1))
+        gram[1:, 1:] = own @ own.T
+        gram[0, 0] = mean @ mean + sum(v @ v / n**2 - 2 * (v @ mean) / n for v in own)
+        gram[0, 1:] = gram[1:, 0] = own @ (mean - own.sum(0) / n)
+        a = np.linalg.solve(gram + 0.01 * np.eye(k + 1), [-2.0] + [1.0] * k)
+        assert w[label] == pytest.approx(a[0] * (mean - own.sum(0) / n) + a[1:] @ own)
+    want = {r.feature_id: r.w for r in initial.mean_separating(f, y.filter("label_id = 4"), meta).collect()}
+    assert w[4] == pytest.approx([want[j] for j in range(width)])
+
+
 def test_obesity_bounds(spark):
     counts = spark.createDataFrame([(i, int(1000 / (i + 1) ** 2)) for i in range(40)], "label_id long, n_pos long")
     assert 50 < lab.obesity(counts).first()[0] <= 100
