@@ -30,7 +30,7 @@ SKETCH = 48
 #: Lists up to this length pair their members in SQL; longer ones go block by block.
 SHORT_LIST = 64
 BLOCK = 1024
-#: What the estimate may fall short by: five standard deviations at a similarity of 0.8.
+#: What the estimate may fall short by: five standard deviations at a similarity of 0.8. Of such pairs 3.3e-6 fall below.
 SLACK = 0.29
 
 
