@@ -1,12 +1,20 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-Each run of ``GRAM`` bytes is hashed; of every ``WINDOW`` neighbouring hashes the least is selected, the rightmost of
-equal ones, and kept with its position. Two texts that share ``GRAM + WINDOW - 1`` bytes select a common hash there. A
-hash and its position are one long, hash above, position below and falling from left to right, so the least long of a
-window is its selection.
+Each run of ``GRAM`` bytes has a rolling hash: the bytes' own hashes, each shifted one further than the next, are added
+without carry, so moving on by a byte is a shift, the old byte out and the new one in. Of every ``WINDOW`` neighbouring
+hashes the least is selected, the rightmost of equal ones, and kept with its position. Two texts that share
+``GRAM + WINDOW - 1`` bytes select a common hash there.
+
+Texts are cut into blocks of ``BLOCK`` windows, a row each, overlapping by a window and a gram. In a block each byte,
+hash and minimum is a column of its own, made from its neighbours in the layer before (hashes over 1, 2, 4, 12 bytes,
+minima over 2, 4, ... 32 hashes), so all of it is compiled code on numbers and takes the memory of a block, however
+long the text. A hash of 56 bits and its place in the block are one long, the hash above, the place below and falling from left
+to right, so the least long of a window is its selection.
 
 A text shorter than a gram is one gram, one with fewer grams than a window is one window; null and empty texts have an
 empty fingerprint. The likeness of two fingerprints is the Jaccard similarity of their hashes, 1 for two empty ones.
+Repeated rows are fingerprinted each; rows that share a doc_id follow one another by text. doc_id is a whole number or
+null, null first; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,74 +24,101 @@ from pyspark.sql import functions as F
 
 from ._common import partitions
 
-GRAM, WINDOW = 12, 32
-_PLACE = 1 << 33
-_STEP = 4
-
-
-def _cell(part: Column, at: Column) -> Column:
-    """The hash of a gram and its position (from 1), as one long: the position is taken off, so later ones are less."""
-    return F.shiftleft(F.xxhash64(part), 33) - at
-
-
-def _position(cell: Column) -> Column:
-    """The position of a cell, from 0."""
-    return (-cell).bitwiseAND(F.lit(_PLACE - 1)) - 1
-
+GRAM, WINDOW, BLOCK = 12, 32, 128
+#: Bytes of a block's windows, and of the stretch in which a cut changes what is selected, on either side.
+SPAN = BLOCK + WINDOW + GRAM - 2
+REACH = WINDOW + GRAM - 1
+NEAR = REACH + WINDOW - 2
+#: Text of a range of documents that one task orders.
+RANGE_BYTES = 128 << 20
+_PLACE = 255
+_NONE = (1 << 63) - 1
+CELLS = "array<struct<h: bigint, p: int>>"
+
+
+def _pieces(raw: Column, part: int, start: Column | int = 0) -> Column:
+    """The blocks of a binary: ``part``, the position of the first byte (counted from ``start``), the bytes; one if it is empty."""
+    last = F.floor((F.greatest(F.octet_length(raw) - REACH, F.lit(0))) / BLOCK).cast("int")
+    cut = lambda r, b: F.struct(F.lit(part).alias("part"), (b * BLOCK + start).cast("int").alias("off"), F.substring(r, b * BLOCK + 1, F.lit(SPAN)).alias("raw"))
+    return F.transform(F.array(raw), lambda r: F.transform(F.sequence(F.lit(0), last), lambda b: cut(r, b)))[0]
+
+
+def _selected(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``blocks`` (the keys and raw) with ``cells`` in place of raw: the selected longs of a block, from left to right."""
+    kept, grams = [*keys, "size", "whole"], BLOCK + WINDOW - 1
+
+    def layer(x: DataFrame, name: str, count: int, of) -> DataFrame:
+        return x.selectExpr(*kept, *(f"{of(j)} AS {name}{j}" for j in range(count)))
+
+    def cell(j: int) -> str:
+        hashed = f"(shiftleft(q{j}, 8) ^ shiftleft(q{j + 4}, 4) ^ q{j + 8})"
+        placed = f"({hashed if j else f'coalesce(whole, {hashed})'} & {~_PLACE}L) | {_PLACE - j}L"
+        return f"CASE WHEN size >= {GRAM + j if j else 1} THEN {placed} ELSE {_NONE}L END"
+
+    x = blocks.selectExpr(*keys, "raw", "octet_length(raw) AS size", f"CASE WHEN octet_length(raw) < {GRAM} THEN xxhash64(raw) END AS whole")
+    x = layer(x, "b", SPAN, lambda j: f"xxhash64(substring(raw, {j + 1}, 1))")
+    x = layer(x, "d", SPAN - 1, lambda j: f"shiftleft(b{j}, 1) ^ b{j + 1}")
+    x = layer(x, "q", SPAN - 3, lambda j: f"shiftleft(d{j}, 2) ^ d{j + 2}")
+    x = layer(x, "m0_", grams, cell)
+    count, step = grams, 1
+    while step < WINDOW:
+        count -= step
+        x = layer(x, f"m{step}_", count, lambda j, s=step: f"least(m{s // 2}_{j}, m{s // 2}_{j + s})")
+        step *= 2
+    minima = ", ".join(f"m{step // 2}_{j}" for j in range(count))
+    windows = f"CASE WHEN size > 0 THEN least({BLOCK}, greatest(1, size - {REACH - 1})) ELSE 0 END"
+    return x.selectExpr(*keys, f"array_distinct(slice(array({minima}), 1, {windows})) AS cells")
+
+
+def _gathered(pieces: str, part: int) -> Column:
+    """The cells of a part's blocks in order, with hash and position; a selection that two blocks share counts once."""
+    own = F.array_sort(F.filter(pieces, lambda x: x["part"] == part))
+    place = lambda c, off: (F.lit(_PLACE) - c.bitwiseAND(F.lit(_PLACE)).cast("int") + off).cast("int")
+    placed = F.flatten(F.transform(own, lambda x: F.transform(x["cells"], lambda c: F.struct(F.shiftright(c, 8).alias("h"), place(c, x["off"]).alias("p")))))
+    return F.transform(F.array(placed), lambda all_: F.filter(all_, lambda c, i: (i == 0) | (F.get(all_, i - 1)["p"] != c["p"])))[0]
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, cells)`` of the distinct rows of ``docs`` (doc_id, text): the selected hashes with their positions in bytes."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = own.select("doc_id", F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("name"), _pieces(F.col("text").cast("binary"), 0).alias("pieces"))
+    keys = ["doc_id", "n_bytes", "name"]
+    found = _selected(rows.select(*keys, F.inline("pieces")), [*keys, "part", "off"]).groupBy(*keys).agg(F.collect_set(F.struct("part", "off", "cells")).alias("pieces"))
+    return found.select("doc_id", "n_bytes", _gathered("pieces", 0).alias("cells"))
 
-def winnowed(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the selected cells of ``text``, an array of longs from left to right, as ``out``.
 
-    The bytes are held in a lambda's variable: as a column they would be copied for each gram. Minima over a window come
-    in two steps, over ``_STEP`` neighbours and over as many of these as make up the window.
-    """
-    raw = F.col(text).cast("binary")
-    n = F.octet_length(text)
-    several = F.transform(F.array(raw), lambda r: F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: _cell(F.substring(r, i, F.lit(GRAM)), i.cast("long"))))[0]
-    one = F.array(_cell(raw, F.lit(1).cast("long")))
-    cells = df.withColumn("_m", F.when(n >= GRAM, several).when(n > 0, one).otherwise(F.array().cast("array<bigint>")))
-    cells = cells.withColumn("_few", F.when(F.size("_m") < WINDOW, F.array_compact(F.array(F.array_min("_m")))))
-    near = lambda width, step: F.slice(F.transform("_m", lambda x, i: F.least(x, *(F.get(F.col("_m"), i + j) for j in range(step, width, step)))), F.lit(1), F.size("_m") - (width - 1))
-    cells = cells.withColumn("_m", F.when(F.col("_few").isNull(), near(_STEP, 1)))
-    cells = cells.withColumn("_m", F.when(F.col("_few").isNull(), near(WINDOW - _STEP + 1, _STEP)))
-    return cells.withColumn(out, F.coalesce("_few", F.array_distinct("_m"))).drop("_m", "_few")
-
-
-def fingerprint(cells: str) -> Column:
+def fingerprint(cells: Column) -> Column:
     """The fingerprint as a string: ``hash:position`` of each selection, positions in bytes from 0."""
-    return F.array_join(F.transform(F.col(cells), lambda x: F.concat(F.hex(F.shiftright(x, 33).bitwiseAND(F.lit((1 << 31) - 1))), F.lit(":"), _position(x).cast("string"))), " ")
+    return F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["h"].bitwiseAND(F.lit((1 << 56) - 1))), F.lit(":"), c["p"].cast("string"))), " ")
 
 
-def hashes(cells: str) -> Column:
-    return F.array_distinct(F.transform(F.col(cells), lambda x: F.shiftright(x, 33)))
+def hashes(cells: Column) -> Column:
+    return F.array_distinct(F.transform(cells, lambda c: c["h"]))
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """The Jaccard similarity of two arrays of distinct hashes."""
     both = F.size(F.array_intersect(a, b))
-    union = F.size(F.col(a)) + F.size(F.col(b)) - both
+    union = F.size(a) + F.size(b) - both
     return F.when(union == 0, 1.0).otherwise(both / union)
 
 
 def shared_passages(left: DataFrame, right: DataFrame) -> DataFrame:
     """Positions at which two tables of (doc_id, cells) select a common hash: doc_a, at_a, doc_b, at_b."""
-
-    def rows(df: DataFrame, tag: str) -> DataFrame:
-        own = df.select(F.col("doc_id").alias(f"doc_{tag}"), F.explode("cells").alias("cell"))
-        return own.select(f"doc_{tag}", F.shiftright("cell", 33).alias("hash"), _position(F.col("cell")).alias(f"at_{tag}"))
-
+    rows = lambda df, tag: df.select(F.col("doc_id").alias(f"doc_{tag}"), F.explode("cells").alias("cell")).select(f"doc_{tag}", F.col("cell.h").alias("hash"), F.col("cell.p").alias(f"at_{tag}"))
     return rows(left, "a").join(rows(right, "b"), "hash").select("doc_a", "at_a", "doc_b", "at_b")
 
 
-def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
-    """``docs`` with ``next_<c>`` for each carried column: that of the row next by ``order``, of the first after the last.
+def in_ranges(docs: DataFrame, order: str, text: str) -> DataFrame:
+    """``docs`` with ``_to`` and ``_late``: rows by ranges of ``order``, about ``RANGE_BYTES`` of ``text`` each, in groups ``_to``.
 
-    Rows go by ranges of ``order`` to as many groups as there are partitions; the first row of each is also sent, as a
-    guest, to the group before. Rows of equal ``order`` follow by the carried columns; null order comes first.
+    The first row of each range is also sent, as a guest (``_late`` 1, for the last range 2), to the group before; the
+    first of all comes after the last. What is gathered on the driver is a number a range.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    bounds = docs.agg(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 1000 * 100)).first()[0]
+    least = F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63)))
+    n = max(partitions(spark), int((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // RANGE_BYTES))
+    bounds = docs.agg(F.percentile_approx(F.col(order).cast("long"), [i / n for i in range(1, n)] or [0.5], max(100_000, 10 * n))).first()[0]
     bounds = sorted(set(bounds or []))
     group = F.lit(0)
     if bounds:  # a binary search: bounds below the row's value
@@ -91,31 +126,47 @@ def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
         held = F.array(*map(F.lit, bounds))
         group = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(held, at + s - 1) < F.col(order)), at + s).otherwise(at))
     rows = docs.withColumn("_group", group)
-    firsts = sorted((r["_group"], r["least"]) for r in rows.groupBy("_group").agg(F.min(F.coalesce(order, F.lit(-(1 << 63)))).alias("least")).collect())
-    if not firsts:
-        return rows.select(*docs.columns, *(F.col(c).alias(f"next_{c}") for c in carried))
+    firsts = sorted((r["_group"], r["least"]) for r in rows.groupBy("_group").agg(F.min(least).alias("least")).collect())
     before = [(firsts[i][1], firsts[i - 1][0], int(i == 0)) for i in range(len(firsts))]
-    guests = F.broadcast(spark.createDataFrame(before, "_least long, _to int, _last int"))  # a row a partition
-    rows = rows.join(guests, F.coalesce(F.col(order), F.lit(-(1 << 63))) == F.col("_least"), "left")
-    own = F.struct(F.lit(0).alias("late"), F.col("_group").alias("to"))
-    guest = F.struct((F.lit(1) + F.col("_last")).alias("late"), F.col("_to").alias("to"))
-    rows = rows.withColumn("_at", F.explode(F.when(F.col("_least").isNotNull(), F.array(own, guest)).otherwise(F.array(own))))
-    rows = rows.select(*docs.columns, F.col("_at.to").alias("_to"), F.col("_at.late").alias("_late"))
-    by = Window.partitionBy("_to").orderBy("_late", order, *(c for c in carried if c != order))
-    rows = rows.select("*", *(F.lead(c).over(by).alias(f"next_{c}") for c in carried))
-    return rows.filter("_late = 0").drop("_to", "_late")
+    guests = F.broadcast(spark.createDataFrame(before, "_least long, _before int, _last int"))  # a row a range
+    rows = rows.join(guests, least == F.col("_least"), "left")
+    own = F.struct(F.col("_group").alias("_to"), F.lit(0).alias("_late"))
+    guest = F.struct(F.col("_before").alias("_to"), (F.lit(1) + F.col("_last")).alias("_late"))
+    return rows.select(*docs.columns, F.inline(F.when(F.col("_least").isNotNull(), F.array(own, guest)).otherwise(F.array(own))))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of ``docs`` (doc_id, text), of its edited text and of the next one's, and their likeness.
 
-    The edited text has its last half (rounded down, in code points) replaced by the first as many of the next text.
+    The edited text has its last half (rounded down, in code points) replaced by the first as many of the next text. Its
+    fingerprint is put together from those of both: a selection stands where all windows over it are of one text, and
+    only around the seam and at the end, where some are not, are blocks worked on anew.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = winnowed(own, "text", "cells")
-    rows = with_next(own, "doc_id", ["text", "cells"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    own = in_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
+    order = Window.partitionBy("_to").orderBy("_late", "doc_id", "text")
+    rows = own.select("*", F.lead("text").over(order).alias("after"), F.row_number().over(order).alias("_row")).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = winnowed(rows.withColumn("edited", edited).drop("text", "next_text"), "edited", "edited_cells")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"), hashes("cells").alias("h"), hashes("edited_cells").alias("e"), hashes("next_cells").alias("x"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("h", "e").alias("near_edited"), likeness("h", "x").alias("near_next"))
+    rows = rows.withColumn("head", F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half)).withColumn("edited", F.concat("head", F.substring(F.coalesce("after", F.lit("")), F.lit(1), half)))
+    raw, a, n = F.col("edited").cast("binary"), F.octet_length("head"), F.octet_length("edited")
+    seam, end = F.greatest(F.lit(0), a - NEAR), F.greatest(F.lit(0), n - NEAR)
+    parts = [_pieces(F.col("text").cast("binary"), 0), _pieces(F.substring(raw, seam + 1, F.lit(2 * NEAR)), 1, seam), _pieces(F.substring(raw, end + 1, F.lit(NEAR)), 2, end)]
+    keys = ["_to", "_row", "_late", "doc_id", "n_chars", "edited_sha256", "a", "n"]
+    blocks = rows.select("_to", "_row", "_late", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), a.alias("a"), n.alias("n"), F.when(F.col("_late") > 0, parts[0]).otherwise(F.concat(*parts)).alias("pieces"))
+    blocks = blocks.select(*keys, F.inline("pieces"))  # the texts end before their blocks become rows
+    found = _selected(blocks, [*keys, "part", "off"]).groupBy(*keys).agg(F.collect_list(F.struct("part", "off", "cells")).alias("pieces"))
+    found = found.select(*keys, _gathered("pieces", 0).alias("cells"), _gathered("pieces", 1).alias("seam"), _gathered("pieces", 2).alias("end"))
+    found = found.withColumn("next", F.coalesce(F.lead("cells").over(Window.partitionBy("_to").orderBy("_row")), F.array().cast(CELLS))).filter("_late = 0")
+
+    # whose windows all lie before the seam, or some across it, or all behind it, or some at the end
+    first, last = F.col("a") - REACH, F.col("n") - REACH
+    moved = F.transform("next", lambda c: F.struct(c["h"].alias("h"), (c["p"] + F.col("a")).alias("p")))
+    behind = F.col("a") + WINDOW - 1
+    edited = F.concat(
+        F.filter("cells", lambda c: c["p"] <= first),
+        F.filter("seam", lambda c: (c["p"] > first) & (c["p"] < behind)),
+        F.filter(moved, lambda c: (c["p"] >= behind) & (c["p"] <= last)),
+        F.filter("end", lambda c: (c["p"] > last) & (c["p"] >= behind)),
+    )
+    found = found.withColumn("edited", edited)
+    found = found.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("cells")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), hashes(F.col("cells")).alias("h"), hashes(F.col("edited")).alias("e"), hashes(F.col("next")).alias("x"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("h"), F.col("e")).alias("near_edited"), likeness(F.col("h"), F.col("x")).alias("near_next"))

@@ -116,37 +116,73 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 31)} | {100: 50, 70: 50}
 
 
+def winnowed(raw, names):
+    """The fingerprint by the definition: of each window the least hash, the rightmost of equal ones, with its position."""
+    if not raw:
+        return []
+    k, w = fingerprints.GRAM, fingerprints.WINDOW
+    if len(raw) < k:
+        found = [names[raw]]
+    else:
+        found = []
+        for p in range(len(raw) - k + 1):
+            h = 0
+            for c in raw[p : p + k]:  # rolled from scratch: shifted on, the next byte's hash added without carry
+                h = ((h << 1) ^ names[bytes([c])]) & (2**64 - 1)
+            found.append(h)
+    found = [(h - 2**64 if h >> 63 else h) >> 8 for h in found]
+    spots = {max(range(i, min(i + w, len(found))), key=lambda p: (-found[p], p)) for i in range(max(1, len(found) - w + 1))}
+    return [(found[p], p) for p in sorted(spots)]
+
+
+def winnowing_rows():
+    draw = random.Random(4)
+    letters = lambda n, of="abcdé \U0001f600": "".join(draw.choice(of) for _ in range(n))
+    rows = [(1, "abc"), (2, None), (3, ""), (5, "x" * 500), (4, "é中文\U0001f600" * 20), (5, "x" * 500), (-7, "y"), (6, "same"), (6, "other")]
+    rows += [(10 + i, letters(draw.choice([0, 5, 11, 12, 13, 40, 42, 43, 44, 80, 86, 130, 300, 1000]))) for i in range(70)]
+    rows += [(200 + i, letters(n, of)) for i, (n, of) in enumerate([(169, "ab"), (170, "ab"), (171, "ab"), (172, "a"), (298, "a"), (299, "ab"), (5000, "ab"), (7, "a"), (3000, "abcdefgh"), (1, "a")])]
+    return rows + [(None, "a text without a number"), (None, None)]
+
+
 def test_winnowing(spark):
-    rows = [(1, "abc"), (2, None), (3, ""), (5, "x" * 200), (4, "é中文\U0001f600" * 20), (5, "x" * 200), (9, "hello world this is a test of winnowing " * 3), (10, "hello world this is a test of winnowing " * 2 + "and more of it here")]
-    got = fingerprints.fingerprint_edits(frame(spark, rows)).collect()
-    ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
-    want = Counter()
+    rows = winnowing_rows()
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _to int, cells int").repartition(3)
+    got = fingerprints.fingerprint_edits(df).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    edits = []
     for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
         t, after = t or "", after or ""
         half = len(t) // 2
-        want[i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    names = {}
-    for r in got:
-        raw = (dict(rows)[r.doc_id] or "").encode()
-        cells = [x.split(":") for x in r.fingerprint.split()]
-        grams = [raw[p : p + fingerprints.GRAM] for p in range(len(raw) - fingerprints.GRAM + 1)]
-        for h, p in cells:
-            assert names.setdefault(raw[int(p) : int(p) + fingerprints.GRAM], h) == h
-        spots = {int(p) for _, p in cells}
-        for w in range(len(grams) - fingerprints.WINDOW + 1):  # each window has its least hash, rightmost, and it is there
-            assert any(w <= p < w + fingerprints.WINDOW for p in spots)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and bool(raw) == bool(cells)
+        edits.append((i, t, t[: len(t) - half] + after[:half], after))
+    short = {x for _, *texts in edits for t in texts if 0 < len(x := t.encode()) < fingerprints.GRAM} | {bytes([c]) for c in range(256)}
+    names = {r.x: r.h % 2**64 for r in spark.createDataFrame([(bytearray(x),) for x in short], "x binary").select("x", F.xxhash64("x").alias("h")).collect()}
+    names = {bytes(x): h for x, h in names.items()}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = []
+    for i, t, edited, after in edits:
+        one, two, three = (winnowed(x.encode(), names) for x in (t, edited, after))
+        text = lambda cells: " ".join(f"{h % 2**56:X}:{p}" for h, p in cells)
+        h1, h2, h3 = ({h for h, _ in x} for x in (one, two, three))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(one), text(two), alike(h1, h2), alike(h1, h3)))
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_winnowing_edges(spark, monkeypatch):
     assert fingerprints.fingerprint_edits(frame(spark, [])).count() == 0
     assert fingerprints.fingerprint_edits(frame(spark, [(7, "abc")])).first().near_next == 1
+    rows = winnowing_rows()
+    whole = Counter(map(tuple, fingerprints.fingerprint_edits(frame(spark, rows)).collect()))
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 400)  # many ranges: the same
+    assert Counter(map(tuple, fingerprints.fingerprint_edits(frame(spark, rows)).collect())) == whole
 
 
 def test_shared_passage_is_found(spark):
     draw = random.Random(2)
     text = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
     common = text(fingerprints.GRAM + fingerprints.WINDOW - 1)
-    rows = fingerprints.winnowed(frame(spark, [(1, text(100) + common + text(90)), (2, text(33) + common + text(7))]), "text", "cells")
-    assert fingerprints.shared_passages(rows.filter("doc_id = 1"), rows.filter("doc_id = 2")).count() > 0
+    rows = fingerprints.fingerprints(frame(spark, [(1, text(100) + common + text(90)), (2, text(33) + common + text(7)), (2, None)]))
+    assert {(r.doc_id, r.n_bytes > 0, len(r.cells) > 0) for r in rows.collect()} == {(1, True, True), (2, True, True), (2, False, False)}
+    assert any(r.at_a - r.at_b == 67 for r in fingerprints.shared_passages(rows.filter("doc_id = 1"), rows.filter("doc_id = 2")).collect())
 
 
 def brute_nearest(rows, k, step):
