@@ -74,6 +74,21 @@ with sound as (
     select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 20
+""",
+    "op9_minhash": """
+with recursive split_up as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+    from documents
+), shingles as (
+    select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from split_up
+), sizes as (select doc_id, count(*) as n from shingles group by 1),
+met as (select x.doc_id as a, y.doc_id as b, count(*) as common from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+links as (select a, b from met join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * common >= 80 * (p.n + q.n - common)),
+edges as (select a, b from links union select b, a from links),
+reached(u, v) as (select a, a from edges union select r.u, e.b from reached r join edges e on r.v = e.a),
+least as (select u, min(v) as component from reached group by 1)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(component, d.doc_id) as component_id, coalesce(component, d.doc_id) = d.doc_id as kept
+from documents d left join sizes using (doc_id) left join least on u = d.doc_id
 """,
     "op8_warc": """
 with full_pages as (select page_id, encode(coalesce(html, '')) as payload, octet_length(encode(coalesce(html, ''))) as n from pages),

@@ -86,8 +86,8 @@ def linked(rows, words, percent):
     return {i: (sorted(map(len, sets[i])), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("words", "short"), [(4, 8), (5, 64)])
-def test_near_duplicates(spark, words, short):
+@pytest.mark.parametrize(("words", "wide", "block"), [(4, 24, 5), (5, near_duplicates.WIDE, near_duplicates.BLOCK)])
+def test_near_duplicates(spark, words, wide, block):
     draw, vocabulary = random.Random(3), [f"w{i}" for i in range(60)]
     bases = [[draw.choice(vocabulary) for _ in range(draw.choice([3, 6, 20, 60, 200]))] for _ in range(12)]
     rows = []
@@ -98,7 +98,7 @@ def test_near_duplicates(spark, words, short):
         rows.append((i, " ".join(text)))
     rows += [(500, None), (501, ""), (502, "  "), (503, "A b"), (504, "a B"), (3, rows[3][1]), (505, "a b")]
     want, got = linked(rows, words, 80), {}
-    for r in near_duplicates.near_duplicates(frame(spark, rows), words, 80, short_list=short).collect():
+    for r in near_duplicates.near_duplicates(frame(spark, rows), words, 80, wide=wide, block=block).collect():
         got.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id))
         assert r.kept == (r.doc_id == r.component_id)
     assert {i: (sorted(n for n, _ in x), x[0][1]) for i, x in got.items()} == want
@@ -110,6 +110,15 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates.near_duplicates(frame(spark, []), 4).count() == 0
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    draw = random.Random(9)
+    x, y = ([f"w{draw.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    rows = [(3, " ".join(x)), (3, " ".join(y)), (5, " ".join([*x, "zz"])), (9, " ".join([*y, "yy"])), (7, "else"), (7, " ".join([*x, "aa"]))]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (7, 3)}
+    assert {(i, root) for i, (_, root) in linked(rows, 5, 80).items()} == got
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (3, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
