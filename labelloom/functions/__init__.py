@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def safe_div(num: Column, den: Column) -> Column:
-    """num / den; 0 where num is 0 (even 0/0), null where only den is 0."""
-    return F.when(num == 0, F.lit(0.0)).when(den == 0, F.lit(None).cast("double")).otherwise(num / F.when(den == 0, F.lit(1.0)).otherwise(den))
+    """num / den; 0 where num is 0 (even 0/0), infinite where only den is 0."""
+    return F.when(num == 0, F.lit(0.0)).when(den == 0, F.when(num > 0, float("inf")).otherwise(float("-inf"))).otherwise(num / F.when(den == 0, F.lit(1.0)).otherwise(den))
 
 
 # -- margin losses: value, slope, curvature at margin m ------------------------------------------------------------

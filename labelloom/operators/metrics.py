@@ -60,12 +60,14 @@ def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     }
 
 
+#: Rates of the default report.
+SUITE = ("P", "R", "F1", "ACC", "BA", "SPC", "BM", "MK", "FM", "NPV", "MCC", "LR+", "LR-", "DOR")
 #: Rates that the reports name; others are there for callers.
 RATES = ("P", "R", "F1", "ACC", "BA", "SPC", "BM", "MK", "FM", "NPV", "MCC", "LR+", "LR-", "DOR", "PREV", "FDR", "FOR", "FNR", "FPR")
 
 
 def reduce_confusion(confusion: DataFrame, how: str, rates: Callable[[Column, Column, Column, Column], dict[str, Column]] = _rates) -> DataFrame:
-    """(name, value): micro rates of the summed matrix or macro means of each label's; ``rates`` may be one's own. Undefined rates are left out of a mean."""
+    """(name, value): micro rates of the summed matrix or macro means of each label's; ``rates`` may be one's own. A rate that is infinite for a label makes the mean so."""
     cells = ("tp", "fp", "fn", "tn")
     if how == "micro":
         rows = confusion.agg(*(F.sum(c).alias(c) for c in cells))
@@ -92,6 +94,28 @@ def coverage_at_k(confusion: DataFrame, threshold: float = 0.0) -> DataFrame:
     return confusion.agg(F.avg((recall > threshold).cast("double")).alias("coverage"))
 
 
+def suite(pred: DataFrame, truth: DataFrame, universe: DataFrame, meta: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """(k, name, value): at each k the instance metrics, all rates of ``SUITE`` micro and macro, the summed matrix, coverage.
+
+    The predictions are held against the truth once; the matrices of all k are one table, of ``ks`` rows a label.
+    """
+    hits = marked(pred.filter(F.col("rk") < max(ks)), truth).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("rk < k")
+    per = hits.groupBy("k", "label_id").agg(F.sum("correct").alias("tp"), F.sum(1 - F.col("correct")).alias("fp"))
+    positives = truth.groupBy("label_id").agg(F.count("*").alias("p"))
+    grid = universe.select("label_id").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    rows = one_row(grid.join(per, ["k", "label_id"], "left").join(positives, "label_id", "left"), meta.select("n_examples"))
+    tp, fp, p = (F.coalesce(c, F.lit(0)).cast("double") for c in ("tp", "fp", "p"))
+    cells = rows.select("k", tp.alias("tp"), fp.alias("fp"), (p - tp).alias("fn"), (F.col("n_examples") - fp - p).alias("tn"))
+    names = ("tp", "fp", "fn", "tn")
+    own = {n: v for n, v in _rates(*(F.col(c) for c in names)).items() if n in SUITE}
+    summed = _rates(*(F.sum(c) for c in names))
+    total = reduce(Column.__add__, (F.sum(c) for c in names))
+    values = {f"Macro{n}": F.avg(v) for n, v in own.items()} | {f"Micro{n}": summed[n] for n in SUITE} | {f"Micro{c.upper()}": F.sum(c) / total for c in names}
+    values["Cov"] = F.avg((safe_div(F.col("tp"), F.col("tp") + F.col("fn")) > 0).cast("double"))
+    made = cells.groupBy("k").agg(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in values.items())).alias("x"))
+    return made.select("k", F.inline("x")).unionByName(instance_metrics(pred, truth, meta, ks))
+
+
 def _cumulative(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.withColumn(name, F.sum(value).over(Window.partitionBy("example_id").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)))
 

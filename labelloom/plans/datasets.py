@@ -41,13 +41,13 @@ def orders(spark: SparkSession, sf_dir: str) -> Dataset:
     o, l, p = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     brands = p.select("p_brand").distinct().select("p_brand", (F.dense_rank().over(Window.orderBy("p_brand")) - 1).cast("bigint").alias("feature_id"))  # the brands there are
-    parts = p.select("p_partkey", "p_brand").join(F.broadcast(brands.limit(10000)), "p_brand").select("p_partkey", "feature_id")
+    parts = p.select("p_partkey", "p_brand").join(brands, "p_brand").select("p_partkey", "feature_id")
     features = l.join(parts, l.l_partkey == parts.p_partkey).groupBy(F.col("l_orderkey").alias("example_id"), "feature_id").agg(F.sum("l_quantity").cast("double").alias("value"))
     who = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     tags = F.array(F.concat(F.lit("n:"), "n_name"), F.concat(F.lit("p:"), "o_orderpriority"), F.concat(F.lit("s:"), "o_orderstatus"), F.concat(F.lit("m:"), "c_mktsegment"))
     tagged = who.select(F.col("o_orderkey").alias("example_id"), F.explode(tags).alias("tag"))
     names = tagged.select("tag").distinct().select("tag", (F.dense_rank().over(Window.orderBy("tag")) - 1).cast("bigint").alias("label_id"))
-    labels = tagged.join(F.broadcast(names.limit(10000)), "tag").select("example_id", "label_id")
+    labels = tagged.join(names, "tag").select("example_id", "label_id")
     examples = o.select(F.col("o_orderkey").alias("example_id"))
     return Dataset(features, labels, examples, _meta(examples, brands.agg(F.count("*").alias("n_features")), names.agg(F.count("*").alias("n_labels"))))
 

@@ -58,10 +58,12 @@ def ini_03(spark: SparkSession, sf: str) -> DataFrame:
     return initial.bias_only(ds.universe(d), d.meta)
 
 
-@query("ini_05_single_positive", _sql(EMB + ", one as (select label_id, min(example_id) as example_id from emb_y where example_id < 12 group by 1 having count(*) = 1), mean as (select feature_id, sum(value) / any_value(n_examples) as mean from emb_f, emb_m group by 1), x as (select label_id, feature_id, value from emb_f join one using (example_id)), g as (select label_id, sum(value * value) + 0.01 as xx, sum(value * mean) as xm, (select sum(mean * mean) from mean) + 0.01 as mm, 1 / any_value(n_examples)::double * 3.0 - 2.0 as f from x join mean using (feature_id), emb_m group by 1)", "select label_id, feature_id, round((f * xx - xm) / (mm * xx - xm * xm) * mean + (mm - f * xm) / (mm * xx - xm * xm) * value, 6) as w from g join x using (label_id) join mean using (feature_id)"))
+@query("ini_05_single_positive", _sql(EMB + ", one as (select example_id as label_id, example_id from emb_x), mean as (select feature_id, sum(value) / any_value(n_examples) as mean from emb_f, emb_m group by 1), x as (select label_id, feature_id, value from emb_f join one using (example_id)), g as (select label_id, sum(value * value) + 0.01 as xx, sum(value * mean) as xm, (select sum(mean * mean) from mean) + 0.01 as mm, 1 / any_value(n_examples)::double * 3.0 - 2.0 as f from x join mean using (feature_id), emb_m group by 1)", "select label_id, feature_id, round((f * xx - xm) / (mm * xx - xm * xm) * mean + (mm - f * xm) / (mm * xx - xm * xm) * value, 6) as w from g join x using (label_id) join mean using (feature_id)"))
 def ini_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector is the one positive of a label of its own."""
     d = ds.embeddings(spark, sf)
-    return rounded(initial.single_positive(d.features, d.labels.filter("example_id < 12"), d.meta), "w")
+    labels = d.examples.select("example_id", F.col("example_id").alias("label_id"))
+    return rounded(initial.single_positive(d.features, labels, d.meta), "w")
 
 
 @query("ini_05_multi_positive", _sql(EMB + MSI, "select label_id, feature_id, round(w, 6) as w from w"))
@@ -408,7 +410,7 @@ def met_08(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _div(a: str, b: str) -> str:
-    return f"(case when ({a}) = 0 then 0 when ({b}) = 0 then null else ({a}) / ({b}) end)"
+    return f"(case when ({a}) = 0 then 0 when ({b}) = 0 then case when ({a}) > 0 then 'inf'::double else '-inf'::double end else ({a}) / ({b}) end)"
 
 
 _TPR, _TNR, _PPV, _NPV = _div("tp", "tp + fn"), _div("tn", "tn + fp"), _div("tp", "tp + fp"), _div("tn", "tn + fn")
@@ -429,9 +431,9 @@ for _rate, _number in _IDS.items():
     query(f"met_{_number:02d}_{_clean}", _sql(EMB + _LABEL_CM, " union all ".join(f"select '{h.capitalize()}{_rate}' as name, round({'avg' if h == 'macro' else ''}({_FORMULAS[_rate]}), 6) as value from {f}" for h, f in _CELLS.items())))(
         lambda spark, sf, rate=_rate: (lambda c: rounded(metrics.reduce_confusion(c, "micro", lambda *x: {rate: metrics._rates(*x)[rate]}).unionByName(metrics.reduce_confusion(c, "macro", lambda *x: {rate: metrics._rates(*x)[rate]})), "value"))(_confusion(spark, sf))
     )
-_REST = ("PREV", "FDR", "FOR", "FNR", "FPR")
-query("met_23_other_rates", _sql(EMB + _LABEL_CM, " union all ".join(f"select 'Micro{r}' as name, round(({_FORMULAS[r]}), 6) as value from {_CELLS['micro']}" for r in _REST)))(
-    lambda spark, sf: rounded(metrics.reduce_confusion(_confusion(spark, sf), "micro", lambda *x: {r: metrics._rates(*x)[r] for r in _REST}), "value")
+_REST = ("PREV", "FDR", "FOR", "FNR", "FPR", "R", "SPC", "P", "NPV", "LR+", "LR-")
+query("met_23_other_rates", _sql(EMB + _LABEL_CM, " union all ".join(f"select '{h.capitalize()}{r}' as name, round({'avg' if h == 'macro' else ''}({_FORMULAS[r]}), 6)::double as value from {f}" for h, f in _CELLS.items() for r in _REST)))(
+    lambda spark, sf: (lambda c, own: rounded(metrics.reduce_confusion(c, "micro", own).unionByName(metrics.reduce_confusion(c, "macro", own)), "value"))(_confusion(spark, sf), lambda *x: {r: metrics._rates(*x)[r] for r in _REST})
 )
 
 
@@ -469,17 +471,36 @@ for _number, _name in zip(range(25, 29), _VALUES, strict=True):
     )
 
 
-@query("met_30_suite", _sql(EMB + _LABEL_CM, "select 3 as k, 'MicroP' as name, round(sum(tp)::double / sum(tp + fp), 6) as value from cm union all select 3, 'MacroP', round(avg(case when tp = 0 then 0 else tp / (tp + fp)::double end), 6) from cm union all select 3, 'Cov', round(avg(case when tp > 0 then 1.0 else 0.0 end), 6)::double from cm"))
-def met_30(spark: SparkSession, sf: str) -> DataFrame:
-    cm = _confusion(spark, sf)
-    only = lambda *x: {"P": metrics._rates(*x)["P"]}
-    rows = metrics.reduce_confusion(cm, "micro", only).unionByName(metrics.reduce_confusion(cm, "macro", only))
-    rows = rows.unionByName(metrics.coverage_at_k(cm).select(F.lit("Cov").alias("name"), F.col("coverage").alias("value")))
-    return rounded(rows.select(F.lit(3).alias("k"), "name", "value"), "value")
+_SUITE = ("P", "R", "F1", "ACC", "BA", "SPC", "BM", "MK", "FM", "NPV", "MCC", "LR+", "LR-", "DOR")
+_SUITE_CM = _HITS + """,
+pos as (select label_id, count(*) as p from emb_y group by 1),
+ks as (select unnest([1, 3, 5]) as k),
+own as (select k, label_id, sum(correct) as tp, sum(1 - correct) as fp from hits, ks where rk < k group by 1, 2),
+cm as (select ks.k, l.label_id, coalesce(tp, 0)::double as tp, coalesce(fp, 0)::double as fp, (coalesce(p, 0) - coalesce(tp, 0))::double as fn, (n_examples - coalesce(fp, 0) - coalesce(p, 0))::double as tn from emb_l l cross join ks left join own using (k, label_id) left join pos using (label_id), emb_m),
+whole as (select k, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(tn) as tn from cm group by 1),
+per as (select k, example_id, sum(correct) as h, sum(case when correct = 1 then 1 / ln(rk + 2) else 0 end) as d, (select sum(1 / ln(i + 2)) from range(0, 5) r(i) where i < least(k, (select n from size where size.example_id = hits.example_id))) as ideal from hits, ks where rk < k group by 1, 2),
+s as (select k, sum(h) as h, sum(d) as d, sum(coalesce(d / ideal, 0)) as nd, count(*) filter (where h > 0) as a, (select n_examples from emb_m) as n from per group by 1)"""
+_SUITE_SQL = " union all ".join(
+    [f"select k, 'Micro{n}' as name, round({_FORMULAS[n]}, 6)::double as value from whole" for n in _SUITE]
+    + [f"select k, 'Macro{n}', round(avg({_FORMULAS[n]}), 6)::double from cm group by 1" for n in _SUITE]
+    + [f"select k, 'Micro{c.upper()}', round({c} / (tp + fp + fn + tn), 6)::double from whole" for c in ("tp", "fp", "tn", "fn")]
+    + ["select k, 'Cov', round(avg(case when tp > 0 then 1.0 else 0.0 end), 6)::double from cm group by 1"]
+    + ["select k, unnest(['InstanceP', 'InstanceDCG', 'InstancenDCG', 'Abd']), round(unnest([h / (k * n)::double, d / n, nd / n, a / n::double]), 6)::double from s"]
+)
+
+
+def _suite(spark: SparkSession, sf: str) -> DataFrame:
+    d, top = _top(spark, sf)
+    return metrics.suite(top, d.labels, ds.universe(d), d.meta)
 
 
-@query("snk_10_sorted_metrics", _sql(EMB + _LABEL_CM, "select 'MicroTP' as name, sum(tp)::bigint as value from cm union all select 'MicroFP', sum(fp)::bigint from cm"))
+query("met_30_suite", _sql(EMB + _SUITE_CM, _SUITE_SQL))(lambda spark, sf: rounded(_suite(spark, sf), "value"))
+
+
+@query("snk_10_sorted_metrics", _sql(EMB + _SUITE_CM, f"select cast(row_number() over (order by name, k) as integer) as line, name, k, value from ({_SUITE_SQL})"))
 def snk_10(spark: SparkSession, sf: str) -> DataFrame:
-    row = _confusion(spark, sf).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    pairs = F.array(F.struct(F.lit("MicroTP").alias("name"), F.col("tp").alias("value")), F.struct(F.lit("MicroFP").alias("name"), F.col("fp").alias("value")))
-    return row.select(F.explode(pairs).alias("x")).select("x.*").orderBy("name")
+    """The suite in the order in which it is written: a fixed number of rows, whatever the data."""
+    from pyspark.sql import Window
+
+    rows = rounded(_suite(spark, sf), "value")
+    return rows.select(F.row_number().over(Window.orderBy("name", "k")).alias("line"), "name", "k", "value")

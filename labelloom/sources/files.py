@@ -27,10 +27,13 @@ class Dataset:
     meta: DataFrame
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(number, line)`` of the data lines in file order, from 0, without moving any: a line's number is its block's offset plus its place there."""
+def numbered_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """``(number, line)`` of the data lines in file order, from 0, without moving any: a line's number is its block's offset plus its place there.
+
+    With ``blank`` all lines count, also those that hold no data.
+    """
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = lines.filter(formats.is_data(F.col("line"))).withColumn("id", F.monotonically_increasing_id())
+    lines = (lines if blank else lines.filter(formats.is_data(F.col("line")))).withColumn("id", F.monotonically_increasing_id())
     per = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))  # a row a block
     before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return lines.join(per.select("file", "block", "first", before.alias("before")), ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first")).alias("number"), "line")
@@ -43,12 +46,21 @@ def _header(lines: DataFrame, fields: int) -> list[int]:
     return list(row["h"])
 
 
+def _body(lines: DataFrame, key: str) -> DataFrame:
+    """The lines after the header, numbered from 0 as ``key``.
+
+    The header is blanked as well as filtered: what parses a line may be moved below the filter, and would refuse it.
+    """
+    own = F.when(F.col("number") > 0, F.col("line")).otherwise("")
+    return lines.select((F.col("number") - 1).alias(key), own.alias("line")).filter(F.col(key) >= 0)
+
+
 def read_xmc(spark: SparkSession, path: str, one_based: bool = False) -> Dataset:
     """Text with a header ``examples features labels`` and lines ``l1,l2 f:v f:v``. Counts and ids are checked; a label that repeats in a line counts once."""
     lines = numbered_lines(spark, path)
     n, f, y = _header(lines, 3)
     shift = int(one_based)
-    body = lines.filter("number > 0").select((F.col("number") - 1).alias("example_id"), "line")
+    body = _body(lines, "example_id")
     if (found := body.count()) != n:
         raise ValueError(f"{found} examples; the header has {n}")
     head = formats.label_part(F.col("line"))
@@ -60,7 +72,7 @@ def read_xmc(spark: SparkSession, path: str, one_based: bool = False) -> Dataset
 
 def label_frequencies(spark: SparkSession, path: str) -> DataFrame:
     """``(label_id, n)`` of an XMC file, without reading its features."""
-    body = numbered_lines(spark, path).filter("number > 0")
+    body = _body(numbered_lines(spark, path), "example_id")
     return body.select(F.explode(formats.parse_labels(formats.label_part(F.col("line")))).alias("label_id")).groupBy("label_id").agg(F.count("*").alias("n"))
 
 
@@ -80,7 +92,7 @@ def read_dense_text(spark: SparkSession, path: str) -> DataFrame:
     """A header ``rows columns`` and a row of numbers a line: (example_id, feature_id, value)."""
     lines = numbered_lines(spark, path)
     rows, columns = _header(lines, 2)
-    body = lines.filter("number > 0").select((F.col("number") - 1).alias("example_id"), formats.parse_floats(F.col("line")).alias("v"))
+    body = _body(lines, "example_id").select("example_id", formats.parse_floats(F.col("line")).alias("v"))
     if body.count() != rows or body.filter(F.size("v") != columns).limit(1).count():
         raise ValueError(f"the body isn't {rows} rows of {columns} numbers")
     return body.select("example_id", F.posexplode("v").alias("feature_id", "value")).withColumn("feature_id", F.col("feature_id").cast("bigint"))
@@ -90,7 +102,7 @@ def read_binary_matrix(spark: SparkSession, path: str) -> DataFrame:
     """A header ``rows columns`` and lines of ``column:1``: (row, column)."""
     lines = numbered_lines(spark, path)
     _, columns = _header(lines, 2)
-    cells = lines.filter("number > 0").select((F.col("number") - 1).alias("row"), F.explode(formats.parse_pairs(F.col("line"))).alias("x"))
+    cells = _body(lines, "row").select("row", F.explode(formats.parse_pairs(F.col("line"))).alias("x"))
     one = formats.checked(F.col("x.value") == 1, F.col("x.index"), "a value that isn't 1", F.col("x.value").cast("string"))
     return formats.bounded(cells.select("row", one.alias("column")), "column", F.lit(columns))
 
@@ -180,9 +192,11 @@ def read_model_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_weight_lines(spark: SparkSession, path: str, first_label: int = 0, sparse: bool = False, n_features: int | None = None) -> DataFrame:
-    """Text weights, a line a label (empty lines count): dense numbers or index:value pairs. Zeros are dropped."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("label_id", "line"))
-    lines = lines.withColumn("label_id", (F.col("label_id") + first_label).cast("bigint"))
+    """Text weights, a line a label (empty lines count): dense numbers or index:value pairs. Zeros are dropped.
+
+    Of several files, in order of their names, one goes on where the other ends.
+    """
+    lines = numbered_lines(spark, path, blank=True).select((F.col("number") + first_label).alias("label_id"), "line")
     if sparse:
         cells = lines.select("label_id", F.explode(formats.parse_pairs(F.col("line"))).alias("x")).select("label_id", F.col("x.index").alias("feature_id"), F.col("x.value").alias("w"))
         return formats.bounded(cells, "feature_id", F.lit(n_features)) if n_features is not None else cells
@@ -194,8 +208,8 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """A header ``examples k`` and k pairs ``label:score`` a line: (example_id, rk, label_id, score)."""
     lines = numbered_lines(spark, path)
     _, k = _header(lines, 2)
-    body = lines.filter("number > 0").select((F.col("number") - 1).alias("example_id"), formats.parse_pairs(F.col("line")).alias("p"), "line")
-    body = body.withColumn("p", formats.checked(F.size("p") == k, F.col("p"), f"not {k} predictions", F.col("line")))
+    body = _body(lines, "example_id").withColumn("p", formats.parse_pairs(F.col("line")))
+    body = body.withColumn("p", formats.checked((F.col("example_id") < 0) | (F.size("p") == k), F.col("p"), f"not {k} predictions", F.col("line")))
     return body.select("example_id", F.posexplode("p").alias("rk", "x")).select("example_id", F.col("rk").cast("bigint").alias("rk"), F.col("x.index").alias("label_id"), F.col("x.value").alias("score"))
 
 
