@@ -5,11 +5,11 @@ without carry, so moving on by a byte is a shift, the old byte out and the new o
 hashes the least is selected, the rightmost of equal ones, and kept with its position. Two texts that share
 ``GRAM + WINDOW - 1`` bytes select a common hash there.
 
-Texts are cut into blocks of ``BLOCK`` windows, a row each, overlapping by a window and a gram. In a block each byte,
-hash and minimum is a column of its own, made from its neighbours in the layer before (hashes over 1, 2, 4, 12 bytes,
-minima over 2, 4, ... 32 hashes), so all of it is compiled code on numbers and takes the memory of a block, however
-long the text. A hash of 56 bits and its place in the block are one long, the hash above, the place below and falling from left
-to right, so the least long of a window is its selection.
+Texts are cut into blocks of ``BLOCK`` windows, a row each, overlapping by a window and a gram, so the work takes the
+memory of a block, however long the text. In a block hashes are made from their neighbours over 1, 3 and 12 bytes,
+minima over ``_STEP`` hashes and over as many of these as make up the window. A hash of 54 bits and its place in the
+block are one long, the hash above, the place below and falling from left to right, so the least long of a window is
+its selection.
 
 A text shorter than a gram is one gram, one with fewer grams than a window is one window; null and empty texts have an
 empty fingerprint. The likeness of two fingerprints is the Jaccard similarity of their hashes, 1 for two empty ones.
@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from ._common import partitions
 
-GRAM, WINDOW, BLOCK = 12, 32, 128
+GRAM, WINDOW, BLOCK = 12, 32, 980
 #: Bytes of a block's windows, and of the stretch in which a cut changes what is selected, on either side.
 SPAN = BLOCK + WINDOW + GRAM - 2
 REACH = WINDOW + GRAM - 1
 NEAR = REACH + WINDOW - 2
 #: Text of a range of documents that one task orders.
 RANGE_BYTES = 128 << 20
-_PLACE = 255
-_NONE = (1 << 63) - 1
+_BITS, _STEP = 10, 4
+_PLACE = (1 << _BITS) - 1
 CELLS = "array<struct<h: bigint, p: int>>"
 
 
@@ -45,36 +45,28 @@ def _pieces(raw: Column, part: int, start: Column | int = 0) -> Column:
 
 def _selected(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """``blocks`` (the keys and raw) with ``cells`` in place of raw: the selected longs of a block, from left to right."""
-    kept, grams = [*keys, "size", "whole"], BLOCK + WINDOW - 1
-
-    def layer(x: DataFrame, name: str, count: int, of) -> DataFrame:
-        return x.selectExpr(*kept, *(f"{of(j)} AS {name}{j}" for j in range(count)))
-
-    def cell(j: int) -> str:
-        hashed = f"(shiftleft(q{j}, 8) ^ shiftleft(q{j + 4}, 4) ^ q{j + 8})"
-        placed = f"({hashed if j else f'coalesce(whole, {hashed})'} & {~_PLACE}L) | {_PLACE - j}L"
-        return f"CASE WHEN size >= {GRAM + j if j else 1} THEN {placed} ELSE {_NONE}L END"
-
-    x = blocks.selectExpr(*keys, "raw", "octet_length(raw) AS size", f"CASE WHEN octet_length(raw) < {GRAM} THEN xxhash64(raw) END AS whole")
-    x = layer(x, "b", SPAN, lambda j: f"xxhash64(substring(raw, {j + 1}, 1))")
-    x = layer(x, "d", SPAN - 1, lambda j: f"shiftleft(b{j}, 1) ^ b{j + 1}")
-    x = layer(x, "q", SPAN - 3, lambda j: f"shiftleft(d{j}, 2) ^ d{j + 2}")
-    x = layer(x, "m0_", grams, cell)
-    count, step = grams, 1
-    while step < WINDOW:
-        count -= step
-        x = layer(x, f"m{step}_", count, lambda j, s=step: f"least(m{s // 2}_{j}, m{s // 2}_{j + s})")
-        step *= 2
-    minima = ", ".join(f"m{step // 2}_{j}" for j in range(count))
-    windows = f"CASE WHEN size > 0 THEN least({BLOCK}, greatest(1, size - {REACH - 1})) ELSE 0 END"
-    return x.selectExpr(*keys, f"array_distinct(slice(array({minima}), 1, {windows})) AS cells")
+    size = F.octet_length("raw")
+    held = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  as a lambda's variable it is made once
+    each = lambda values, of: held(values, lambda m: F.transform(m, lambda x, i: of(x, i, lambda j: F.get(m, i + j))))
+    cell = lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.lit(_PLACE).cast("long").bitwiseXOR(i))
+    one = held(F.col("raw"), lambda r: F.transform(F.sequence(F.lit(1), size), lambda i: F.xxhash64(F.substring(r, i, F.lit(1)))))
+    three = each(one, lambda x, i, after: F.shiftleft(x, 2).bitwiseXOR(F.shiftleft(after(1), 1)).bitwiseXOR(after(2)))
+    grams = each(three, lambda x, i, after: cell(F.shiftleft(x, 9).bitwiseXOR(F.shiftleft(after(3), 6)).bitwiseXOR(F.shiftleft(after(6), 3)).bitwiseXOR(after(9)), i))
+    near = each(grams, lambda x, i, after: F.least(x, *map(after, range(1, _STEP))))
+    least = each(near, lambda x, i, after: F.least(x, *map(after, range(_STEP, WINDOW, _STEP))))
+    found = (
+        F.when(size >= REACH, F.array_distinct(F.slice(least, F.lit(1), size - REACH + 1)))
+        .when(size >= GRAM, F.array(F.array_min(F.slice(grams, F.lit(1), size - GRAM + 1))))
+        .when(size > 0, F.array(cell(F.xxhash64("raw"), F.lit(0))))
+    )
+    return blocks.select(*keys, F.coalesce(found, F.array().cast("array<bigint>")).alias("cells"))
 
 
 def _gathered(pieces: str, part: int) -> Column:
     """The cells of a part's blocks in order, with hash and position; a selection that two blocks share counts once."""
     own = F.array_sort(F.filter(pieces, lambda x: x["part"] == part))
     place = lambda c, off: (F.lit(_PLACE) - c.bitwiseAND(F.lit(_PLACE)).cast("int") + off).cast("int")
-    placed = F.flatten(F.transform(own, lambda x: F.transform(x["cells"], lambda c: F.struct(F.shiftright(c, 8).alias("h"), place(c, x["off"]).alias("p")))))
+    placed = F.flatten(F.transform(own, lambda x: F.transform(x["cells"], lambda c: F.struct(F.shiftright(c, _BITS).alias("h"), place(c, x["off"]).alias("p")))))
     return F.transform(F.array(placed), lambda all_: F.filter(all_, lambda c, i: (i == 0) | (F.get(all_, i - 1)["p"] != c["p"])))[0]
 
 
@@ -89,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def fingerprint(cells: Column) -> Column:
     """The fingerprint as a string: ``hash:position`` of each selection, positions in bytes from 0."""
-    return F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["h"].bitwiseAND(F.lit((1 << 56) - 1))), F.lit(":"), c["p"].cast("string"))), " ")
+    return F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["h"].bitwiseAND(F.lit((1 << (64 - _BITS)) - 1))), F.lit(":"), c["p"].cast("string"))), " ")
 
 
 def hashes(cells: Column) -> Column:
