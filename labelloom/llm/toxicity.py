@@ -68,8 +68,8 @@ def tokens(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begin, end, buckets, np.searchsorted(begin, starts)
 
 
-def marginals(evidence: np.ndarray, at: np.ndarray, transitions: np.ndarray, start: float) -> np.ndarray:
-    """The probability that each token is toxic; ``evidence``: log odds by token, ``at``: first token of each text, then the end."""
+def messages(evidence: np.ndarray, at: np.ndarray, transitions: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of toxic by token: from the token alone, with all before it, and what those behind it add; ``evidence``: log odds by token, ``at``: first token of each text, then the end."""
     odds = np.exp(np.clip(evidence, -30, 30).astype(np.float64))
     t = np.exp(transitions)
     size = np.diff(at)
@@ -88,10 +88,24 @@ def marginals(evidence: np.ndarray, at: np.ndarray, transitions: np.ndarray, sta
         spot = begin[: live[i + 1]] + i
         after = odds[spot + 1] * backward[spot + 1]
         backward[spot] = (t[1, 0] + t[1, 1] * after) / (t[0, 0] + t[0, 1] * after)
+    return odds, forward, backward
+
+
+def marginals(evidence: np.ndarray, at: np.ndarray, transitions: np.ndarray, start: float) -> np.ndarray:
+    """The probability that each token is toxic."""
+    _, forward, backward = messages(evidence, at, transitions, start)
     both = forward * backward
     return both / (1 + both)
 
 
+def expected_transitions(odds: np.ndarray, forward: np.ndarray, backward: np.ndarray, inner: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """How often each pair of states is expected at the tokens ``inner`` and those before them: sums of pairwise marginals."""
+    t = np.exp(transitions)
+    f, b = forward[inner - 1], odds[inner] * backward[inner]
+    pairs = np.array([[np.full(len(inner), t[0, 0]), t[0, 1] * b], [t[1, 0] * f, t[1, 1] * f * b]])
+    return (pairs / pairs.sum((0, 1))).sum(2)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -146,12 +160,12 @@ def fit(texts: list[tuple[str, bool]]) -> Model | None:
         for j in (0, 1):
             want_t[i, j] = ((y[inner - 1] == i) & (y[inner] == j)).sum()
     for _ in range(STEPS):
-        p = marginals(w[slot].sum(1), at, trans, start)
+        odds, forward, backward = messages(w[slot].sum(1), at, trans, start)
+        p = forward * backward / (1 + forward * backward)
         g = np.bincount(slot.ravel(), np.repeat(y - p, FEATURES), len(used)) - 0.02 * w
         squares += g * g
         w += 0.7 * g / np.sqrt(squares)
-        # pairs of neighbours, taken as independent given their marginals: enough for a step on four numbers
-        have = np.array([[((1 - p[inner - 1]) * (1 - p[inner])).sum(), ((1 - p[inner - 1]) * p[inner]).sum()], [(p[inner - 1] * (1 - p[inner])).sum(), (p[inner - 1] * p[inner]).sum()]])
+        have = expected_transitions(odds, forward, backward, inner, trans)
         g_t = (want_t - have) / max(1, y.sum()) - 0.01 * trans
         squares_t += g_t * g_t
         trans = np.clip(trans + 0.1 * g_t / np.sqrt(squares_t), -8, 8)

@@ -217,12 +217,44 @@ def test_marginals_by_enumeration():
         assert np.allclose(got[a:b], weight / total)
 
 
+def test_gradient_of_the_field():
+    """Expected tokens and transitions are the slopes of the log of the sum over all labellings."""
+    rng = np.random.default_rng(3)
+    at, start = np.array([0, 4, 4, 5, 8]), -0.4
+
+    def log_sum(e, trans):
+        out = 0.0
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            total = 0.0
+            for code in range(1 << (b - a)):
+                y = [(code >> i) & 1 for i in range(b - a)]
+                total += np.exp(sum(e[a + i] * y[i] for i in range(b - a)) + sum(trans[y[i], y[i + 1]] for i in range(b - a - 1)) + (start * y[0] if b > a else 0))
+            out += np.log(total)
+        return out
+
+    e, trans, h = rng.standard_normal(8), rng.standard_normal((2, 2)), 1e-5
+    inner = np.array([1, 2, 3, 6, 7])
+    got = toxicity.expected_transitions(*toxicity.messages(e, at, trans, start), inner, trans)
+    for i in (0, 1):
+        for j in (0, 1):
+            step = np.zeros((2, 2))
+            step[i, j] = h
+            assert abs((log_sum(e, trans + step) - log_sum(e, trans - step)) / (2 * h) - got[i, j]) < 1e-7
+    p = toxicity.marginals(e, at, trans, start)
+    for k in range(8):
+        step = np.zeros(8)
+        step[k] = h
+        assert abs((log_sum(e + step, trans) - log_sum(e - step, trans)) / (2 * h) - p[k]) < 1e-7
+
+
 def test_op2(spark):
     rows = queries.op2_toxicity(spark, "/root/testdata/sf0.01").collect()
     truth = dict(duckdb.sql("select doc_id, toxic from '/root/testdata/sf0.01/labels.parquet'").fetchall())
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    assert np.mean([truth[r.doc_id] == r.predicted for r in held]) > 0.9
+    bad, good = ([r for r in held if truth[r.doc_id] == x] for x in (1, 0))
+    area = np.mean([(x.score > y.score) + 0.5 * (x.score == y.score) for x in bad for y in good])
+    assert area > 0.85 and np.mean([r.predicted for r in bad]) >= 0.5 and np.mean([r.predicted for r in good]) <= 0.05
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "You IDIOT"), (4, "idiot " * 30)], "doc_id long, text string")
     model = toxicity.fit([("you are some plain text here", False)] * 30 + [("you idiot you", True)] * 30)
     got = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
