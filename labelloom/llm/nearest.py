@@ -33,6 +33,8 @@ TILE_QUERIES, TILE_VECTORS = 4096, 16384
 SPREAD = 3.5
 #: Vectors whose mean is taken off.
 CENTRE_ROWS = 1000
+#: More lengths of vectors than this are an error.
+LENGTHS = 1000
 _CODED = "dim int, vec_id long, tile int, vec binary, code binary, norm double, fit double"
 
 
@@ -125,7 +127,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
     sound = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(sound).distinct()
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).limit(1000).collect()}
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).limit(LENGTHS + 1).collect()}
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of over {LENGTHS} lengths")
     centres = {}
     for dim in sizes:
         some = [r["v"] for r in rows.filter(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE_ROWS).select("v").collect()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept_rows, mixed, parts_of, span_hashes, text_blocks
+from ._common import kept_rows, mixed, parts_of, span_hashes, text_blocks, written
 from .byte_bpe import LETTER, NUMBER, classes, point_values
 from .language_id import held_out
 
@@ -183,15 +183,21 @@ def fit(texts: list[tuple[str, bool]]) -> Model | None:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, where: Column) -> list[tuple[str, bool]]:
-    """Distinct texts of at most so many labelled documents of each kind, those of least hash of doc_id, with their labels."""
+    """At most so many distinct texts of each kind, those of least hash, with their labels; a text marked both ways counts as toxic.
+
+    Chosen are only texts that can be learned from: labelled, not null, not over ``TRAIN_BYTES``. Rows that share a doc_id
+    share its label.
+    """
     known = labels.filter(where & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marks: dict = {}
-    for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        marks |= {r["doc_id"]: bool(value) for r in known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
-    if not marks:
+    usable = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    texts = written(usable.select("doc_id", "h").join(known, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")), "labelled")
+    chosen = [r for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)) for r in texts.filter(F.col("toxic") == value).orderBy("h").limit(most).collect()]
+    if not chosen:
         return []
-    rows = docs.filter(F.col("doc_id").isin(list(marks)) & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).select("doc_id", "text").orderBy("doc_id").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
-    return list({r["text"]: marks[r["doc_id"]] for r in rows.collect()}.items())
+    marks = {r["h"]: bool(r["toxic"]) for r in chosen}
+    rows = usable.filter(F.col("doc_id").isin([r["doc_id"] for r in chosen]) & F.col("h").isin(list(marks)))
+    found = rows.groupBy("h").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], marks[r["h"]]) for r in sorted(found, key=lambda r: r["h"])]
 
 
 def scored(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:

@@ -217,6 +217,18 @@ def test_marginals_by_enumeration():
         assert np.allclose(got[a:b], weight / total)
 
 
+def test_labelled_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_CLEAN", 3)
+    rows = [(i, "copied text") for i in range(50)] + [(100 + i, f"clean {i}") for i in range(10)] + [(200, "foul"), (201, "foul"), (202, "x" * (toxicity.TRAIN_BYTES + 1)), (203, None), (100, "other text of 100"), (None, "nameless")]
+    marks = [(i, int(i >= 200)) for i in [*range(50), *range(100, 110), *range(200, 204), 999]] + [(5, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.training_texts(docs, labels, F.lit(True))
+    assert [t for t, bad in got if bad] == ["foul"] and len(got) == 4 and len({t for t, _ in got}) == 4
+    assert toxicity.training_texts(docs, labels.limit(0), F.lit(True)) == [] == toxicity.training_texts(docs.limit(0), labels, F.lit(True))
+    scored = toxicity.rate_documents(docs.limit(0), labels)
+    assert scored.count() == 0
+
+
 def test_gradient_of_the_field():
     """Expected tokens and transitions are the slopes of the log of the sum over all labellings."""
     rng = np.random.default_rng(3)
