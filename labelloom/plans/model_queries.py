@@ -189,13 +189,13 @@ def trn_01(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- training -------------------------------------------------------------------------------------------------------
-def _certificate(d: Dataset, result: DataFrame, costs: DataFrame, tolerance: float, strength: float = 1.0) -> DataFrame:
+def _certificate(d: Dataset, result: DataFrame, costs: DataFrame, tolerance: float, strength: float = 1.0, loss: str = "squared-hinge", kind: str = "l2") -> DataFrame:
     """Whether the relational gradient at the trained weights is as small as asked for, against that at zero, by label."""
     w = training.weights_of(result)
     m = objective.margins(d.features, d.labels, w, d.examples, costs)
     length = lambda g: g.groupBy("label_id").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("g"))
-    now = length(objective.gradient(d.features, m, w, strength=strength))
-    zero = length(objective.gradient_at_zero(d.features, d.labels, costs)).withColumnRenamed("g", "g0")
+    now = length(objective.gradient(d.features, m, w, loss, kind, strength))
+    zero = length(objective.gradient_at_zero(d.features, d.labels, costs, loss)).withColumnRenamed("g", "g0")
     return result.select("label_id", "n_pos").join(now, "label_id").join(zero, "label_id").select("label_id", "n_pos", (F.col("g") <= tolerance * F.col("g0")).alias("converged"))
 
 
@@ -213,6 +213,24 @@ def sol_01(spark: SparkSession, sf: str) -> DataFrame:
     return _certificate(d, result, _ones(d), 0.01)
 
 
+for _loss in ("logistic", "huber-hinge", "hinge"):
+    query(f"sol_01_newton_{_loss.replace('-', '_')}", _CONVERGED)(
+        lambda spark, sf, loss=_loss: (lambda d: _certificate(d, training.train(d.features, d.labels, ds.universe(d), d.examples, 64, _ones(d), training.Options(eps=0.001, scale_eps=False, loss=loss)).persist(), _ones(d), 0.01, loss=loss))(ds.embeddings(spark, sf))
+    )
+for _kind in ("huber", "elastic-50-50", "elastic-90-10"):
+    query(f"sol_01_newton_{_kind.replace('-', '_')}_penalty", _CONVERGED)(
+        lambda spark, sf, kind=_kind: (lambda d: _certificate(d, training.train(d.features, d.labels, ds.universe(d), d.examples, 64, _ones(d), training.Options(eps=0.001, scale_eps=False, penalty=kind)).persist(), _ones(d), 0.01, kind=kind))(ds.embeddings(spark, sf))
+    )
+
+
+@query("sol_04_unchanged", _sql(EMB + _MARGINS + ", one as (select label_id, sum(pow(greatest(0, 1 - m), 2)) as data from margin group by 1)", "select label_id, round(data + (select sum(w * w) / 2 from w where w.label_id = one.label_id), 4) as loss, 0 as steps from one"))
+def sol_04(spark: SparkSession, sf: str) -> DataFrame:
+    """The optimiser that does nothing tells the loss of the weights it is given."""
+    d, w = _model(spark, sf)
+    result = training.train(d.features, d.labels, ds.universe(d), d.examples, 64, _ones(d), training.Options(optimise=False), start=w)
+    return rounded(result.select("label_id", "loss", "steps"), "loss", digits=4)
+
+
 @query("trn_03_weighted_msi_start", _CONVERGED)
 def trn_03(spark: SparkSession, sf: str) -> DataFrame:
     d, w = _model(spark, sf)
@@ -229,13 +247,21 @@ def trn_04(spark: SparkSession, sf: str) -> DataFrame:
     return first.unionByName(run(training.remaining(ds.universe(d), ds.universe(d).filter("label_id < 4"))))
 
 
-@query("trn_05_cascade_shortlist", _sql(EMB, "select label_id, count(*) as n_pos, true as ended from emb_y group by 1"))
+@query("trn_05_cascade_shortlist", _sql(EMB, "select label_id, count(*) as n_pos, true as converged from emb_y group by 1"))
 def trn_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Two blocks with strengths of their own, on each label's shortlist; the relational gradient over the shortlist tells whether it ended well."""
     d = ds.embeddings(spark, sf)
     both = tr.join_blocks(d.features, d.examples.select("example_id", (F.col("example_id") % 7).alias("feature_id"), F.lit(1.0).alias("value")), 64)
     chosen = d.labels.select("label_id", "example_id").unionByName(ds.universe(d).crossJoin(d.examples).filter("(example_id + label_id) % 3 = 0").select("label_id", "example_id")).distinct()
-    result = training.train(both, d.labels, ds.universe(d), d.examples, 71, _ones(d), training.Options(strength=2.0, cull=0.01), shortlist=chosen)
-    return result.select("label_id", "n_pos", (F.col("loss") <= F.col("loss_start")).alias("ended"))
+    # each block's penalty is s w^2 without a half, so twice the strength of the kernel's
+    result = training.train(both, d.labels, ds.universe(d), d.examples, 71, _ones(d), training.Options(eps=0.001, scale_eps=False, strength=1.0, tail=64, tail_strength=4.0), shortlist=chosen).persist()
+    w = training.weights_of(result)
+    m = objective.margins(both, d.labels, w, d.examples, _ones(d)).join(chosen, ["label_id", "example_id"], "left_semi")
+    data = objective.gradient(both, m, w, strength=0.0).join(objective.block_penalty(w, 64, 0.5, 2.0).select("label_id", "feature_id", "slope"), ["label_id", "feature_id"], "left").withColumn("g", F.col("g") + F.coalesce("slope", F.lit(0.0)))
+    at_zero = objective.gradient(both, m.withColumn("score", F.lit(0.0)), w.filter("false"), strength=0.0)
+    length = lambda g, name: g.groupBy("label_id").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias(name))
+    both_ = result.select("label_id", "n_pos").join(length(data, "g"), "label_id").join(length(at_zero, "g0"), "label_id")
+    return both_.select("label_id", "n_pos", (F.col("g") <= 0.01 * F.col("g0")).alias("converged"))
 
 
 @query("ini_06_all_negative_start", _sql(EMB, "select label_id, true as ended from emb_l"))

@@ -117,7 +117,7 @@ def test_sparsify_keeps_the_loss():
     n, f = 60, 8
     x = rng.standard_normal((n, f))
     row, col = np.nonzero(x)
-    o = training.SquaredHinge(training.Rows(row, col, x[row, col], n, f), np.where(x[:, 0] > 0, 1.0, -1.0), np.ones(n), 1.0)
+    o = training.Linear(training.Rows(row, col, x[row, col], n, f), np.where(x[:, 0] > 0, 1.0, -1.0), np.ones(n), 1.0)
     w, _ = training.newton(o, np.zeros(f))
     thin = training.sparsified(o, w, 0.05)
     assert (thin != 0).sum() <= (w != 0).sum() and o.value(thin) <= 1.05 * o.value(w) + 1e-5
@@ -201,3 +201,43 @@ def test_obesity_bounds(spark):
     counts = spark.createDataFrame([(i, int(1000 / (i + 1) ** 2)) for i in range(40)], "label_id long, n_pos long")
     assert 50 < lab.obesity(counts).first()[0] <= 100
     assert math.isclose(lab.obesity(spark.createDataFrame([(0, 5)], "label_id long, n_pos long")).first()[0], 0)
+
+
+@pytest.mark.parametrize("loss", sorted(training.MARGIN_LOSSES))
+@pytest.mark.parametrize("penalty", sorted(training.WEIGHT_PENALTIES))
+def test_every_loss_and_penalty_trains(loss, penalty):
+    rng = np.random.default_rng(4)
+    n, f = 80, 7
+    x = rng.standard_normal((n, f))
+    y = np.where(x @ rng.standard_normal(f) + 0.3 * rng.standard_normal(n) > 0, 1.0, -1.0)
+    row, col = np.nonzero(x)
+    o = training.Linear(training.Rows(row, col, x[row, col], n, f), y, rng.uniform(0.5, 2, n), np.linspace(0.5, 2, f), True, loss, penalty)
+    w, h = rng.standard_normal(f) / 3, 1e-6
+    g, diagonal, product = o.slopes(w)
+    for i in range(f):
+        step = np.zeros(f)
+        step[i] = h
+        assert abs((o.value(w + step) - o.value(w - step)) / (2 * h) - g[i]) < 1e-4 * (1 + abs(g[i]))
+        assert abs(product(step)[i] / h - diagonal[i]) < 1e-6 * (1 + diagonal[i])
+    assert o.strength[-1] == 0
+    best, how = training.newton(o, np.zeros(f), training.Options(eps=1e-3))
+    assert how["loss"] < o.value(np.zeros(f)) and all(o.value(best + 0.01 * rng.standard_normal(f)) > how["loss"] - 1e-3 for _ in range(50))
+    assert training.unchanged(o, w)[1]["loss"] == o.value(w)
+
+
+@pytest.mark.parametrize("loss", sorted(training.MARGIN_LOSSES))
+def test_kernel_losses_are_the_columns(spark, loss):
+    from labelloom.functions import LOSSES
+
+    m = np.round(np.linspace(-3, 3, 61), 3)
+    want = [tuple(r) for r in spark.createDataFrame([(float(x),) for x in m], "m double").select(*LOSSES[loss](F.col("m"))).collect()]
+    assert np.allclose(np.array(training.MARGIN_LOSSES[loss](m)).T, np.array(want, float))
+
+
+@pytest.mark.parametrize("penalty", sorted(training.WEIGHT_PENALTIES))
+def test_kernel_penalties_are_the_columns(spark, penalty):
+    from labelloom.functions import PENALTIES
+
+    w = np.round(np.linspace(-2, 2, 41), 3)
+    want = [tuple(r) for r in spark.createDataFrame([(float(x),) for x in w], "w double").select(*PENALTIES[penalty](F.col("w"))).collect()]
+    assert np.allclose(np.array(training.WEIGHT_PENALTIES[penalty](w)).T, np.array(want, float))
