@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import adapted, propensity
-from .transforms import one_row
+from .transforms import numbered, one_row
 
 
 def label_counts(labels: DataFrame, universe: DataFrame, meta: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def obesity(counts: DataFrame, draws: int = 10000, seed: int = 1) -> DataFrame:
 
     Draws are by a documented generator: x -> (1103515245 x + 12345) mod 2^31 applied to 4 i + j + seed, twice.
     """
-    ranked = counts.select("n_pos", (F.row_number().over(Window.orderBy("n_pos", "label_id")) - 1).alias("rank"))  # labels of one model
+    ranked = numbered(counts.select("label_id", "n_pos"), "n_pos", "label_id", "rank").select("n_pos", "rank")
     total = counts.agg(F.count("*").alias("n_labels"))
     a, c, m = LCG
     turn = lambda x: (x * a + c) % m

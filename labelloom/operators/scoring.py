@@ -36,7 +36,8 @@ def padded_top_k(scores: DataFrame, examples: DataFrame, universe: DataFrame, k:
     best = scores.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= k).drop("nth")
     few = scores.groupBy("example_id").agg(F.count(F.when(F.col("score") > 0, 1)).alias("above"), F.count("*").alias("all"))
     needy = examples.select("example_id").join(few, "example_id", "left").filter(F.coalesce("above", F.lit(0)) < k)
-    ranked = universe.select("label_id", F.row_number().over(Window.orderBy("label_id")).alias("nth"))
+    most = (needy.agg(F.max("all")).first()[0] or 0) + k  # no example needs more labels than that
+    ranked = universe.select("label_id").orderBy("label_id").limit(most).select("label_id", F.row_number().over(Window.orderBy("label_id")).alias("nth"))
     wanted = needy.select("example_id", F.explode(F.sequence(F.lit(1), (F.coalesce("all", F.lit(0)) + k).cast("int"))).alias("nth"))
     zeros = wanted.join(ranked, "nth").select("example_id", "label_id").join(scores.select("example_id", "label_id"), ["example_id", "label_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(best.unionByName(zeros), k)

@@ -13,6 +13,21 @@ def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(row.limit(1)))
 
 
+def numbered(rows: DataFrame, high: str, low: str, name: str, parts: int = 1024) -> DataFrame:
+    """``rows`` with their number by (high, low), from 0, as ``name``; ``low`` is a whole number, distinct for each ``high``.
+
+    Rows are ranked within a value of ``high`` and one of ``parts`` stretches of ``low``, on top of the counts of the
+    stretches before, so neither a frequent value nor all rows meet in one task.
+    """
+    edges = rows.agg(F.min(low).alias("_low"), F.max(low).alias("_top"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_top") - F.col("_low") + 1) / parts))
+    dealt = one_row(rows, edges).withColumn("_part", F.floor((F.col(low) - F.col("_low")) / width)).drop("_low", "_top")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(high, "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = dealt.groupBy(high, "_part").agg(F.count("*").alias("_n")).select(high, "_part", before.alias("_before"))  # a row a stretch
+    ranked = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(high, "_part").orderBy(low)))
+    return ranked.join(per, [high, "_part"]).select(*rows.columns, (F.col("_before") + F.col("_nth") - 1).alias(name))
+
+
 def augment_bias(features: DataFrame, examples: DataFrame, meta: DataFrame, bias: float = 1.0) -> DataFrame:
     """Appends column n_features with a constant, for every example."""
     column = one_row(examples.select("example_id"), meta.select("n_features")).select("example_id", F.col("n_features").alias("feature_id"), F.lit(bias).alias("value"))
@@ -21,8 +36,8 @@ def augment_bias(features: DataFrame, examples: DataFrame, meta: DataFrame, bias
 
 def normalize(features: DataFrame) -> DataFrame:
     """Rows to unit length; zero rows stay."""
-    norms = features.groupBy("example_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return features.join(norms, "example_id").select("example_id", "feature_id", F.when(F.col("norm") > 0, F.col("value") / F.col("norm")).otherwise(F.col("value")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("example_id")))
+    return features.withColumn("norm", norm).select("example_id", "feature_id", F.when(F.col("norm") > 0, F.col("value") / F.col("norm")).otherwise(F.col("value")).alias("value"))
 
 
 def mean_feature(features: DataFrame, meta: DataFrame) -> DataFrame:
@@ -35,15 +50,8 @@ def feature_counts(features: DataFrame) -> DataFrame:
 
 
 def frequency_order(features: DataFrame) -> DataFrame:
-    """``(feature_id, new_id)``: columns by ascending count of stored entries, ties by id.
-
-    Ranks go per count, on top of the features of smaller counts, so no task holds all of them.
-    """
-    counts = feature_counts(features)
-    per = counts.groupBy("df").agg(F.count("*").alias("n"))
-    below = per.alias("a").join(per.select(F.col("df").alias("df2"), F.col("n").alias("n2")), F.col("df2") < F.col("a.df"), "left").groupBy("a.df").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("before"))
-    ranked = counts.withColumn("nth", F.row_number().over(Window.partitionBy("df").orderBy("feature_id")))
-    return ranked.join(below, "df").select("feature_id", (F.col("before") + F.col("nth") - 1).alias("new_id"))
+    """``(feature_id, new_id)``: columns by ascending count of stored entries, ties by id."""
+    return numbered(feature_counts(features), "df", "feature_id", "new_id").select("feature_id", "new_id")
 
 
 def reorder(table: DataFrame, order: DataFrame) -> DataFrame:

@@ -340,22 +340,26 @@ def jn_04(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.score(d.features, w.filter("label_id = 4")).select("example_id", "score"), "score")
 
 
-# a sparse model: weights of positive features of few labels only, so that many pairs score 0
-_SPARSE = MSI + ", v as (select label_id, feature_id, w from w where abs(w) > 0.12), few as (select * from emb_f where value > 0.2), part as (select example_id, label_id, sum(value * w) as score from few join v using (feature_id) group by 1, 2), every as (select x.example_id, l.label_id, coalesce(score, 0) as score from emb_x x cross join emb_l l left join part using (example_id, label_id))"
+# a sparse model of the orders: a label has weights for a seventh of the brands, so many pairs have no score
+_SPARSE = ", v as (select label_id, feature_id, 1.0::double / (1 + label_id) - feature_id / 50.0::double as w from ord_l, (select feature_id from ord_b) where (label_id + feature_id) % 7 = 0), part as (select example_id, label_id, sum(value * w) as score from ord_f join v using (feature_id) group by 1, 2), every as (select x.example_id, l.label_id, coalesce(score, 0) as score from ord_x x cross join ord_l l left join part using (example_id, label_id))"
 
 
-@query("top_02_full_scores", _sql(EMB + _SPARSE, "select example_id, label_id, round(score, 6) as score from every"))
+def _sparse(spark: SparkSession, sf: str) -> tuple[Dataset, DataFrame]:
+    d = ds.orders(spark, sf)
+    w = ds.universe(d).crossJoin(ds.columns(d)).filter((F.col("label_id") + F.col("feature_id")) % 7 == 0)
+    return d, scoring.score(d.features, w.select("label_id", "feature_id", (1.0 / (1 + F.col("label_id")) - F.col("feature_id") / 50.0).alias("w")))
+
+
+@query("top_02_full_scores", _sql(ORD + _SPARSE, "select example_id, label_id, round(score, 5) as score from every"))
 def top_02(spark: SparkSession, sf: str) -> DataFrame:
-    d, w = _model(spark, sf)
-    part = scoring.score(d.features.filter("value > 0.2"), w.filter("abs(w) > 0.12"))
-    return rounded(scoring.full_scores(part, d.examples, ds.universe(d)), "score")
+    d, part = _sparse(spark, sf)
+    return rounded(scoring.full_scores(part, d.examples, ds.universe(d)), "score", digits=5)
 
 
-@query("top_03_padded_top_k", _sql(EMB + _SPARSE, "select example_id, rk, label_id, round(score, 6) as score from (select *, row_number() over (partition by example_id order by score desc, label_id) - 1 as rk from every) where rk < 3"))
+@query("top_03_padded_top_k", _sql(ORD + _SPARSE, "select example_id, rk, label_id, round(score, 5) as score from (select *, row_number() over (partition by example_id order by score desc, label_id) - 1 as rk from every) where rk < 3"))
 def top_03(spark: SparkSession, sf: str) -> DataFrame:
-    d, w = _model(spark, sf)
-    part = scoring.score(d.features.filter("value > 0.2"), w.filter("abs(w) > 0.12"))
-    return rounded(scoring.padded_top_k(part, d.examples, ds.universe(d), 3), "score")
+    d, part = _sparse(spark, sf)
+    return rounded(scoring.padded_top_k(part, d.examples, ds.universe(d), 3), "score", digits=5)
 
 
 @query("top_06_merged_parts", _sql(EMB + SCORES, "select example_id, rk, label_id, round(score, 6) as score from top where rk < 3"))
