@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import mixed, partitions, parts_of, span_hashes, text_blocks, written
 from .byte_bpe import point_values
-from .components import components
+from .components import components, forest_roots
 
 SKETCH = 48
 #: Values of the longer sketch that pairs in open lists are compared by.
@@ -152,14 +152,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     links = written(verified(best), "links")
 
     # what may still link two components
-    rooted = lists.select("value", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    trees = forest_roots(links)
+    rooted = lists.select("value", "node", "n").join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted")
     more = written(_open_pairs(rooted, texts.select("node", "prints"), percent, wide, block).join(best, ["u", "v"], "left_anti"), "pairs")
     own = members.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u < w").select("doc_id", "u")
     same = members.join(own, "doc_id").filter("u < node").select("u", F.col("node").alias("v"))
-    links = written(links.unionByName(verified(more)).unionByName(same), "links")
-
-    named = members.join(components(links), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node")["rep"].alias("component_id"))
+    # only links between trees are left to follow
+    links = written(verified(more).unionByName(same), "links")
+    for end in ("u", "v"):
+        links = links.join(trees.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    tops = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = members.join(trees, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, "root", "left")
+    named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "root")["rep"].alias("component_id"))
     alone = all_rows.filter((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -123,6 +123,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (3, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 31)} | {100: 50, 70: 50}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    got = {r.node: r.root for r in components.forest_roots(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 70), (50, 100)], "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 31)} | {100: 50, 70: 50}
+    assert components.forest_roots(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def winnowed(raw, names):
