@@ -30,7 +30,10 @@ from ._common import partitions, shared_dir, written
 SKIPPABLE, FRAME, TRAINED = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 20, 16 << 10, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "path string, page_id long, warc_type string, target_uri string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+RECORD = "path string, record_id string, page_id long, warc_type string, target_uri string, refers_to long, refers_to_id string, payload_digest string, payload_bytes long, payload binary"
+#: Fields that say how a record is to be read: they may not come twice with different values.
+SINGLE = {"warc-type", "warc-record-id", "content-length", "transfer-encoding"}
+HASHES = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
 
 
 def payload_digest(payload: bytes) -> str:
@@ -122,17 +125,56 @@ def frames(source, path: str = "") -> Iterator[tuple[int, bytes]]:
 
 
 def headers(lines: bytes, where: str) -> dict[str, str]:
+    """Fields by lower-case name. A line that begins with a blank goes on with the one before; values of a repeated field are joined by commas."""
     out: dict[str, str] = {}
-    for line in lines.split(b"\r\n"):
-        name, colon, value = line.decode("utf-8").partition(":")
-        if not colon or not name.strip() or name.lower() in out:
+    name = ""
+    for line in lines.split(b"\r\n") if lines else []:
+        try:
+            text = line.decode("utf-8")
+        except UnicodeDecodeError:
+            text = line.decode("latin1")
+        if text[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {text.strip()}".strip()
+            continue
+        name, colon, value = text.partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if not colon or not name or name in SINGLE and out.get(name, value) != value:
             raise ValueError(f"{where}: header {line[:80]!r}")
-        out[name.lower()] = value.strip()
+        out[name] = value if name in SINGLE or name not in out else f"{out[name]}, {value}"
     return out
 
 
+def unchunked(body: bytes, where: str) -> bytes:
+    """A body whose chunks each follow their length in hexadecimal, up to one of length 0."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            raise ValueError(f"{where}: the chunk at byte {at} of the body is broken")
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def digest_holds(label: str, *payloads: bytes) -> bool:
+    """Whether one of the payloads has the labelled digest, in base32 or hexadecimal; a digest of another kind isn't judged."""
+    kind, _, value = label.rpartition(":")
+    make = HASHES.get(kind.lower().replace("-", "") or "sha1")
+    return make is None or any(value.upper().rstrip("=") in (base64.b32encode(d).decode().rstrip("="), d.hex().upper()) for d in (make(x).digest() for x in payloads))
+
+
 def parse_record(record: bytes, where: str = "") -> dict:
-    """The fields of a record, once its version, headers, lengths and digest hold."""
+    """The fields of a record of any type, once its version, headers, lengths and digest hold.
+
+    The payload of an HTTP message is its body, with chunks put together, of other blocks the whole. Archives of others
+    may repeat header fields, name records by any URI (page_id is then null) and leave out the HTTP length or the digest,
+    which is then that of the payload found.
+    """
     head, gap, block = record.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
     if not gap or version not in (b"WARC/1.0", b"WARC/1.1"):
@@ -143,16 +185,27 @@ def parse_record(record: bytes, where: str = "") -> dict:
             raise ValueError(f"{where}: {name} is missing")
     if not found["content-length"].isdigit() or len(block) != int(found["content-length"]) + 4 or block[-4:] != b"\r\n\r\n":
         raise ValueError(f"{where}: Content-Length {found['content-length']} for a block of {len(block) - 4} bytes")
-    http, gap, payload = block[:-4].partition(b"\r\n\r\n")
-    size = int(headers(http.partition(b"\r\n")[2], where)["content-length"])
-    digest = found["warc-payload-digest"].removeprefix("sha1:")
-    kind = found["warc-type"]
-    if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
+    kind, block, size = found["warc-type"], block[:-4], None
+    raw = payload = block
+    if found.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        http, gap, raw = block.partition(b"\r\n\r\n")
+        about = headers(http.partition(b"\r\n")[2], where)
+        chunked = "chunked" in about.get("transfer-encoding", "").lower()
+        payload = unchunked(raw, where) if chunked and raw else raw
+        if not chunked and about.get("content-length", "").isdigit():
+            size = int(about["content-length"])
+    whole = kind != "revisit" and "warc-truncated" not in found and "warc-segment-number" not in found
+    label = found.get("warc-payload-digest")
+    if whole and (kind == "response" and size is not None and len(raw) != size or label and not digest_holds(label, payload, raw)):
         raise ValueError(f"{where}: the payload's length or digest is wrong")
-    if kind == "revisit" and (payload or "warc-refers-to" not in found):
+    if kind == "revisit" and (payload or not {"warc-refers-to", "warc-refers-to-target-uri", "warc-payload-digest"} & found.keys()):
         raise ValueError(f"{where}: a revisit with a payload or without a target")
-    number = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
-    return {"page_id": number(found["warc-record-id"]), "warc_type": kind, "target_uri": found.get("warc-target-uri"), "refers_to": number(found.get("warc-refers-to")), "payload_digest": digest, "payload_bytes": size, "payload": payload if kind == "response" else None}
+    number = lambda x: int(x[10:-1]) if x and x.startswith("<urn:page:") and x[10:-1].lstrip("-").isdigit() else None
+    digest = label.removeprefix("sha1:") if label else payload_digest(payload)
+    return {
+        "record_id": found["warc-record-id"], "page_id": number(found["warc-record-id"]), "warc_type": kind, "target_uri": found.get("warc-target-uri"), "refers_to": number(found.get("warc-refers-to")),
+        "refers_to_id": found.get("warc-refers-to"), "payload_digest": digest, "payload_bytes": len(payload) if kind != "revisit" or size is None else size, "payload": payload if kind != "revisit" else None,
+    }
 
 
 def write_warc(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
@@ -197,7 +250,7 @@ def read_warc(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
         rows, size = [], 0
         for path in (p for b in batches for p in b.column(0).to_pylist()):

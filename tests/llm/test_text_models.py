@@ -148,6 +148,39 @@ def test_warc_rejects_damage():
         warc.parse_record(records[0].replace(b"AAAA", b"AAAB", 1))
 
 
+def foreign(kind, http, body, *more):
+    block = http + body
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:6f0a7e7e-0000-4000-8000-000000000001>", b"WARC-Date: 2020-02-02T02:02:02Z", *more, b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_others():
+    kind = b"Content-Type: application/http; msgtype=response"
+    cookies = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Long: one\r\n two\r\nX-Odd: \xe9\r\n\r\n"
+    got = warc.parse_record(foreign(b"response", cookies, b"hello", kind, b"WARC-Target-URI: http://x/", b"WARC-Concurrent-To: <urn:a>", b"WARC-Concurrent-To: <urn:b>"))
+    assert got["payload"] == b"hello" and got["page_id"] is None and got["record_id"].startswith("<urn:uuid:") and got["payload_digest"] == warc.payload_digest(b"hello")
+    assert warc.headers(cookies[17:-4], "")["set-cookie"] == "a=1, b=2" and warc.headers(cookies[17:-4], "")["x-long"] == "one two"
+    chunks = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    body = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+    for digest in (b"sha1:" + warc.payload_digest(b"hello world").encode(), b"sha1:" + warc.payload_digest(body).encode(), b"sha256:" + hashlib.sha256(b"hello world").hexdigest().encode(), b"crc9:zz"):
+        got = warc.parse_record(foreign(b"response", chunks, body, kind, b"WARC-Payload-Digest: " + digest))
+        assert got["payload"] == b"hello world" and got["payload_bytes"] == 11
+    with pytest.raises(ValueError, match="chunk"):
+        warc.parse_record(foreign(b"response", chunks, b"5\r\nhel", kind))
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse_record(foreign(b"response", chunks, body, kind, b"WARC-Payload-Digest: sha1:AAAA"))
+    with pytest.raises(ValueError, match="length"):
+        warc.parse_record(foreign(b"response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n", b"hello", kind))
+    assert warc.parse_record(foreign(b"response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n", b"hello", kind, b"WARC-Truncated: length"))["payload"] == b"hello"
+    assert warc.parse_record(foreign(b"warcinfo", b"", b"software: x\r\n", b"Content-Type: application/warc-fields"))["payload"] == b"software: x\r\n"
+    assert warc.parse_record(foreign(b"request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", b"", b"Content-Type: application/http; msgtype=request"))["payload_bytes"] == 0
+    assert warc.parse_record(foreign(b"metadata", b"", b"", b"Content-Type: text/plain"))["payload"] == b""
+    got = warc.parse_record(foreign(b"revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", b"", kind, b"WARC-Refers-To: <urn:uuid:1>"))
+    assert got["refers_to_id"] == "<urn:uuid:1>" and got["refers_to"] is None and got["payload"] is None
+    with pytest.raises(ValueError, match="header"):
+        warc.parse_record(foreign(b"response", cookies, b"hello", kind, b"WARC-Type: request"))
+
+
 def test_training_texts_of_copies_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(language_id, "TRAIN_TEXTS", 20)
     copies = [(i, "de", "immer das gleiche") for i in range(30_000)] + [(10**6 + i, "de", f"anderer text {i}") for i in range(25)]
