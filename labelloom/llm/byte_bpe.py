@@ -28,6 +28,8 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 KEPT_POINTS = 48
 #: Entries of the table of merged pieces, after which it is emptied.
 KEPT_PIECES = 600_000
+#: Pieces of more bytes than this merge at many places in a step.
+LONG = 256
 _NONE = np.int64(1) << np.int64(60)
 
 
@@ -104,6 +106,14 @@ class Vocabulary:
         self.byte_ids, self.whole, self.ranks, self.merged = byte_ids, whole, ranks.astype(np.int64), merged.astype(np.int64)
         self.table = HashTable(max(10, int(len(pairs)).bit_length() + 1))
         self.table.add(pairs, np.arange(len(pairs), dtype=np.int32))
+        # ids that no pair of a lower rank takes up: once one is made, all others of its rank come before what it makes possible
+        left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        least = np.full(len(words), _NONE, np.int64)
+        np.minimum.at(least, left, self.ranks)
+        np.minimum.at(least, right, self.ranks)
+        self.settled = np.zeros(int(self.ranks.max(initial=0)) + 1, bool)
+        self.settled[self.ranks] = True
+        self.settled[self.ranks[least[self.merged] <= self.ranks]] = False
         self.lengths = np.array([len(w) for w in words], np.int64)
         self.offsets = np.append(0, np.cumsum(self.lengths))
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
@@ -186,17 +196,34 @@ def merge_trees(vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> t
         rank, to = vocabulary.pair(ids[at], ids[right])
         leaf[at], result[at] = np.where(rank == _NONE, _NONE, rank << shift | column[at]), to
 
+    def all_least(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The first place of least rank of each row, and where the rank is settled all others, but those whose left id the one before takes."""
+        rank = levels[-1][rows] >> shift
+        settled = vocabulary.settled[rank]
+        nodes, rank = rows[settled], rank[settled]
+        for level in levels[-2::-1]:
+            nodes, rank = np.repeat(nodes * 2, 2), np.repeat(rank, 2)
+            nodes[1::2] += 1
+            own = level[nodes] >> shift == rank
+            nodes, rank = nodes[own], rank[own]
+        joined = np.append(False, nodes[:-1] // w * w + following[nodes[:-1]] == nodes[1:])
+        nth = np.arange(len(nodes))
+        since = nth - np.maximum.accumulate(np.where(joined, 0, nth))  # of a chain of places, each other one
+        return np.sort(np.append(first[~settled], nodes[since % 2 == 0]))
+
     rows = np.flatnonzero(levels[-1] < _NONE)
     while len(rows):
-        base = rows * w
-        at = base + (levels[-1][rows] & low)
+        at = rows * w + (levels[-1][rows] & low)
+        if w > LONG and vocabulary.settled[levels[-1][rows] >> shift].any():
+            at = all_least(rows, at)
+        base = at // w * w
         gone = base + following[at]
         ids[at] = result[at]
         alive[gone] = False
         leaf[gone] = _NONE
         after = following[gone]
         following[at] = after
-        more = after < ends[rows]
+        more = after < ends[at // w]
         before[(base + after)[more]] = column[at[more]]
         leaf[at[~more]] = _NONE
         pair_at(at[more], (base + after)[more])

@@ -50,6 +50,23 @@ def test_bpe_is_tokenizers():
     assert all(ids.tolist() == w.ids for (_, ids), w in zip(byte_bpe.encoded(texts, JSON), want, strict=True))
 
 
+def test_bpe_of_long_runs(monkeypatch):
+    with open(MULTI, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = Tokenizer.from_file(JSON)
+    draw = random.Random(6)
+    run = lambda of, n: "".join(draw.choice(of) for _ in range(n))
+    prose = "".join(c for _, t, *_ in table("documents")[:40] for c in t if c.isalpha())
+    texts = [run("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 20_000), run("ab", 3000), "a" * 5000, run("aab", 1000), prose[:30_000], run("éàüñ中文字", 2000), run("the and ing ion".replace(" ", ""), 8000), run("=-", 700)]
+    monkeypatch.setattr(byte_bpe, "LONG", 8)  # short ones too
+    texts += [run("abcdeinrst", draw.randint(9, 300)) for _ in range(300)]
+    for (_, ids), text in zip(byte_bpe.encoded(texts, MULTI), texts, strict=True):
+        assert ids.tolist() == enc.encode_ordinary(text), text[:60]
+    for (_, ids), text in zip(byte_bpe.encoded(texts, JSON), texts, strict=True):
+        assert ids.tolist() == own.encode(text, add_special_tokens=False).ids, text[:60]
+
+
 def test_bpe_table_overflows(monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 40)
     own = byte_bpe.Encoder(byte_bpe.Vocabulary.from_ranks(MULTI))
