@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,18 +167,58 @@ def write_npy(rows: DataFrame, path: str, n_rows: int, n_columns: int) -> None:
 
 
 # -- models ---------------------------------------------------------------------------------------------------------
-def write_weights(weights: DataFrame, path: str, n_labels: int, n_features: int, bucket: int = 4096, culling: float = 0.0) -> None:
-    """Weights (label_id, feature_id, w) by label bucket; appending more labels is allowed, the index tells the ranges."""
-    own = weights.filter(F.abs("w") > culling).withColumn("label_bucket", F.floor(F.col("label_id") / bucket))
-    own.repartition("label_bucket").write.mode("append").partitionBy("label_bucket").parquet(f"{path}/weights")
-    about = json.dumps({"num-features": n_features, "num-labels": n_labels, "bucket": bucket})
-    weights.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+def _ranges(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """First label and end of each part of a model that has been written, in order."""
+    try:
+        rows = spark.read.text(f"{path}/ranges").collect()  # a row a part
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted((r["first"], r["end"]) for r in (json.loads(x["value"]) for x in rows))
+
+
+def write_weights(weights: DataFrame, path: str, n_labels: int, n_features: int, bucket: int = 4096, culling: float = 0.0, first: int = 0, count: int | None = None) -> None:
+    """A model's part, weights (label_id, feature_id, w) of the labels [first, first + count), by label bucket; by default all labels.
+
+    A part that is written again replaces itself, so a run can be repeated. A part that overlaps another one, reaches
+    beyond the labels or holds weights of labels outside it is refused, as is one of a model of another shape.
+    """
+    spark, end = weights.sparkSession, n_labels if count is None else first + count
+    if not 0 <= first < end <= n_labels:
+        raise ValueError(f"labels {first} to {end} of {n_labels}")
+    about = {"num-features": n_features, "num-labels": n_labels, "bucket": bucket}
+    there = _ranges(spark, path)
+    if there and json.loads(spark.read.text(f"{path}/meta").first()[0]) != about:
+        raise ValueError("the model there has another shape")
+    for a, b in there:
+        if (a, b) != (first, end) and a < end and first < b:
+            raise ValueError(f"labels {first} to {end} overlap {a} to {b}, which are there")
+    inside = formats.checked(F.col("label_id").between(first, end - 1), F.col("label_id"), "a label outside its part", F.col("label_id").cast("string"))
+    inside_too = formats.checked(F.col("feature_id").between(0, n_features - 1), F.col("feature_id"), "a feature that the model doesn't have", F.col("feature_id").cast("string"))
+    own = weights.select(inside.alias("label_id"), inside_too.alias("feature_id"), "w").filter(F.abs("w") > culling).withColumn("label_bucket", F.floor(F.col("label_id") / bucket))
+    own.repartition("label_bucket").write.mode("overwrite").partitionBy("label_bucket").parquet(f"{path}/weights/part={first}")
+    for name, value in (("meta", about), (f"ranges/part={first}", {"first": first, "end": end})):
+        spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def missing_labels(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """The stretches (first, end) of labels that no part of a model holds; none when it is whole."""
+    n, at, out = json.loads(spark.read.text(f"{path}/meta").first()[0])["num-labels"], 0, []
+    for first, end in [*_ranges(spark, path), (n, n)]:
+        if first > at:
+            out.append((at, first))
+        at = max(at, end)
+    return out
 
 
 def read_weights(spark: SparkSession, path: str, first: int | None = None, end: int | None = None) -> DataFrame:
-    """Weights of labels [first, end): only their buckets are read."""
-    out = spark.read.parquet(f"{path}/weights")
-    bucket = json.loads(spark.read.text(f"{path}/meta").first()[0])["bucket"]
+    """Weights of labels [first, end): only their buckets are read. A model that lacks some of these labels is an error."""
+    about = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    low, high = first or 0, about["num-labels"] if end is None else end
+    if gaps := [(max(a, low), min(b, high)) for a, b in missing_labels(spark, path) if a < high and low < b]:
+        raise ValueError(f"labels that were not written: {gaps}")
+    out, bucket = spark.read.schema("label_id long, feature_id long, w double, part long, label_bucket long").parquet(f"{path}/weights"), about["bucket"]
     if first is not None:
         out = out.filter((F.col("label_id") >= first) & (F.col("label_bucket") >= first // bucket))
     if end is not None:
