@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,13 +58,28 @@ def norms(features: DataFrame) -> DataFrame:
     return features.groupBy("example_id").agg(F.sum(F.abs(v)).alias("l1"), F.sqrt(F.sum(v * v)).alias("l2"), F.sum(v * v).alias("l2_squared"), F.max(F.abs(v)).alias("l_inf"))
 
 
-def collect(df: DataFrame, config: dict[str, dict]) -> dict[str, DataFrame]:
-    """Statistics by name from a configuration: {name: {"type": ..., further arguments}}."""
+def collect(df: DataFrame, config: dict[str, dict] | str) -> dict[str, DataFrame]:
+    """Statistics by name from a configuration, as a dictionary or its JSON: {name: {"type": ..., further arguments}}.
+
+    ``Multi`` holds several; ``VectorReduction`` takes a norm of each example's vector first, and its ``targets`` sum up
+    that, as their ``value``.
+    """
+    if isinstance(config, str):
+        config = json.loads(config)
     kinds = {"Counter": counter, "Basic": basic, "Tagged": tagged, "LinHist": histogram, "LogHist": lambda *a, **k: histogram(*a, logarithm=True, **k), "TagLinHist": histogram, "TagLogHist": lambda *a, **k: histogram(*a, logarithm=True, **k), "Full": full}
     out = {}
     for name, given in config.items():
         if given["type"] == "Multi":
             out |= {f"{name}.{k}": v for k, v in collect(df, {str(i): x for i, x in enumerate(given["stats"])}).items()}
+        elif given["type"] == "VectorReduction":
+            reduced = norms(df).withColumnRenamed(given["reduction"], "value")
+            out |= {f"{name}.{k}": v for k, v in collect(reduced, {str(i): {"value": "value"} | x for i, x in enumerate(given["targets"])}).items()}
         else:
             out[name] = kinds[given["type"]](df, **{k: v for k, v in given.items() if k != "type"})
     return out
+
+
+def json_lines(results: dict[str, DataFrame], units: dict[str, str] | None = None) -> DataFrame:
+    """(name, line): each row of each statistic as JSON, with its name and unit, to be written as text."""
+    rows = [df.select(F.lit(name).alias("name"), F.to_json(F.struct(F.lit(name).alias("stat"), F.lit((units or {}).get(name, "")).alias("unit"), *df.columns)).alias("line")) for name, df in results.items()]
+    return reduce(DataFrame.unionByName, rows)

@@ -241,3 +241,34 @@ def test_kernel_penalties_are_the_columns(spark, penalty):
     w = np.round(np.linspace(-2, 2, 41), 3)
     want = [tuple(r) for r in spark.createDataFrame([(float(x),) for x in w], "w double").select(*PENALTIES[penalty](F.col("w"))).collect()]
     assert np.allclose(np.array(training.WEIGHT_PENALTIES[penalty](w)).T, np.array(want, float))
+
+
+def test_streams_of_the_minimiser(spark):
+    d = [(i, j, float((i * 7 + j * 3) % 5) - 2) for i in range(12) for j in range(3)]
+    features = spark.createDataFrame(d, "example_id long, feature_id long, value double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "example_id long, label_id long")
+    ids = spark.range(2).toDF("label_id")
+    result = training.train(features, labels, ids, spark.range(12).toDF("example_id"), 3, ids.selectExpr("label_id", "1.0d as pos", "1.0d as neg"), training.Options(eps=1e-4, scale_eps=False)).persist()
+    ends = {r.label_id: r for r in result.collect()}
+    rows = training.streams(result).collect()
+    for label, r in ends.items():
+        own = [x for x in rows if x.label_id == label]
+        assert {x.label_freq for x in own} == {6} and {x.iteration for x in own if x.stream == "grad"} == set(range(len(r.trace)))
+        assert [x.value for x in own if x.stream == "loss" and x.iteration == 0] == [r.loss_start] and [x.value for x in own if x.stream == "result.loss"] == [r.loss]
+    found = stats.collect(training.streams(result).filter("stream = 'grad'"), '{"all": {"type": "Basic", "value": "value"}, "by": {"type": "Tagged", "value": "value", "tag": "iteration", "max_tag": 3}}')
+    lines = stats.json_lines(found, {"all": "1"}).collect()
+    assert {r.name for r in lines} == {"all", "by"} and any('"unit":"1"' in r.line and '"count"' in r.line for r in lines)
+    norms = stats.collect(features, {"l": {"type": "VectorReduction", "reduction": "l2", "targets": [{"type": "Basic"}]}})
+    assert norms["l.0"].first()["count"] == 12
+
+
+def test_stream_of_examples(spark, tmp_path):
+    from labelloom.streaming import scoring as streamed
+
+    weights = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, -1.0)], "label_id long, feature_id long, w double").persist()
+    rows = [(1, [0, 1], [1.0, 2.0]), (2, [1], [3.0]), (3, [], []), (4, [9], [1.0])]
+    spark.createDataFrame(rows, "example_id long, indices array<bigint>, values array<double>").repartition(2).write.parquet(f"{tmp_path}/in")
+    packed = spark.readStream.schema("example_id long, indices array<bigint>, values array<double>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    write = lambda batch, _: streamed.summed(batch).write.mode("append").parquet(f"{tmp_path}/out")
+    streamed.score_stream(packed, weights).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, 0, 5.0), (1, 1, -2.0), (2, 0, 6.0), (2, 1, -3.0)]
