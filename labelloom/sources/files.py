@@ -258,6 +258,33 @@ def write_predictions(topk: DataFrame, path: str, n_examples: int, k: int, digit
     write_lines(formats.topk_lines(topk, digits), "example_id", path, f"{n_examples} {k}")
 
 
+def read_label_weights(spark: SparkSession, positive: str | None, negative: str | None) -> DataFrame:
+    """(label_id, pos, neg) of files with a number a label, as text (blanks or line ends between them) or an npy vector; 1 without a file."""
+
+    def numbers(path: str, name: str) -> DataFrame:
+        if path.endswith(".npy"):
+            cells = read_npy(spark, path)  # one row or one column
+            return cells.select(F.greatest("example_id", "feature_id").alias("label_id"), F.col("value").alias(name))
+        lines = numbered_lines(spark, path, blank=True).select("number", formats.parse_floats(F.col("line")).alias("v"))
+        before = F.coalesce(F.sum(F.size("v")).over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a number a label
+        return lines.select(before.alias("b"), "v").select("b", F.posexplode("v").alias("at", name)).select((F.col("b") + F.col("at")).alias("label_id"), name)
+
+    found = [numbers(path, name) if path else None for path, name in ((positive, "pos"), (negative, "neg"))]
+    if found[0] is None and found[1] is None:
+        raise ValueError("neither file is given")
+    both = found[0] if found[1] is None else found[1] if found[0] is None else found[0].join(found[1], "label_id", "full")
+    columns = [F.coalesce(n, F.lit(1.0)).alias(n) if n in both.columns else F.lit(1.0).alias(n) for n in ("pos", "neg")]
+    return both.select("label_id", *columns)
+
+
+def write_dense_predictions(scores: DataFrame, path: str, n_examples: int, n_labels: int, digits: int = 6) -> None:
+    """A header ``examples labels`` and a line of all labels' scores for each example, 0 where ``scores`` (example_id, label_id, score) has none."""
+    rows = scores.groupBy("example_id").agg(F.map_from_entries(F.collect_list(F.struct("label_id", "score"))).alias("m"))
+    every = scores.sparkSession.range(n_examples).toDF("example_id").join(rows, "example_id", "left")
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)), lambda i: formats.number(F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0)), digits)), " ")
+    write_lines(every.select("example_id", line.alias("line")), "example_id", path, f"{n_examples} {n_labels}")
+
+
 def labelled_only(pred: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Predictions and truth without the examples that have no label."""
     return pred.join(truth.select("example_id").distinct(), "example_id", "left_semi"), truth
