@@ -6,12 +6,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelloom.llm import components, fingerprints, near_duplicates, nearest, passages, substrings
+from labelloom.llm import components, fingerprints, near_duplicates, nearest, passages, queries, substrings
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,6 +105,14 @@ def test_near_duplicates(spark, words, wide, block):
     assert {i: (sorted(n for n, _ in x), x[0][1]) for i, x in got.items()} == want
 
 
+def test_op9_is_its_sql(spark):
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+        want = sorted(con.execute(queries.ORACLE["op9_minhash"]).fetchall())
+    got = queries.op9_minhash(spark, SF).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_near_duplicates_edges(spark):
     rows = near_duplicates.near_duplicates(frame(spark, [(None, "a b c"), (None, "a b c"), (1, "a b c")])).collect()
     assert len(rows) == 3 and all(r.kept for r in rows)
