@@ -6,7 +6,9 @@ all subsequences within it that hold the node's token have that token's hash as
 such windows a passage length and function, so they stand for all subsequences. Windows of different texts with one
 signature are joined on it, each text with the first of all blocks and the first of its own, and then, of the texts that
 verified pairs don't connect, each with each; pairs of texts in which the windows of at least ``AGREEING`` functions meet
-are candidates. Their stretches of common tokens (four of five or more) in the one text are held against those in the
+are candidates. Of the latter only texts count whose tokens that other components hold too lie dense enough for a
+passage: a text that shares but a shorter line or two is left out before it is paired, and no passage can be lost by
+that. Their stretches of common tokens (four of five or more) in the one text are held against those in the
 other, and all stand as passages whose exact Jaccard similarity is ``percent`` / 100 or more; one that falls short is
 cut at its widest gap and its parts are tried again.
 
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 
 from ._common import mixed, partitions, span_hashes, written
 from .components import components
-from .substrings import BUCKET_BYTES, _opened, blocks, open_sorted, repeated_keys
+from .substrings import BUCKET_BYTES, _dealt, _opened, blocks, expand, open_sorted, pack_sorted, repeated_keys, squeeze
 
 WORDS, MIN_WORDS, HASHES, AGREEING = 5, 50, 6, 3
 #: Signatures of up to so many texts pair these in SQL; longer lists go block by block.
 SHORT_LIST = 64
 BLOCK = 4096
+#: Bits of a token's hash that are left out where tokens are looked for in other texts: a false match only keeps a text.
+_CUT = np.uint64(20)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SEEDS = mixed(np.arange(1, 65, dtype=np.uint64))
 
@@ -195,6 +199,7 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
     only = rows.join(members.filter("doc_id = rep AND n > 0").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     blocked = blocks(only, "text")
     total = blocked.agg(F.sum("size")).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), int(total // BUCKET_BYTES))
 
     def keys_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, at = tokens(data, starts)
@@ -202,7 +207,7 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
         node = np.concatenate([x[1] for x in found])
         return np.concatenate([x[0] for x in found]), np.searchsorted(at, node, side="right") - 1
 
-    repeated = written(repeated_keys(blocked, keys_of, max(partitions(docs.sparkSession), int(total // BUCKET_BYTES)), 1 << 60), "signatures")
+    repeated = written(repeated_keys(blocked, keys_of, buckets, 1 << 60), "signatures")
 
     def window_rows(left: pa.Table, right: pa.Table) -> pa.Table:
         """Each text's repeated signatures, once each, with the first text of the block that has them."""
@@ -246,17 +251,21 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(c, pa.int32()) for c in columns[:4]), pa.array(columns[4], pa.float64())], ["doc", "near", "begin", "end", "near_begin", "near_end", "similarity"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The passages that the texts of the pairs (doc, near) share."""
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The passages that the texts (doc_id, text) of the pairs (doc, near) share."""
         wanted = pairs.select(F.col("doc").alias("doc_id")).unionByName(pairs.select(F.col("near").alias("doc_id"))).distinct()
-        held = written(only.join(wanted, "doc_id"), "held")
+        held = written(texts.join(wanted, "doc_id"), "held")
         joined = pairs.join(held.select(F.col("doc_id").alias("doc"), F.col("text").alias("x")), "doc").join(held.select(F.col("doc_id").alias("near"), F.col("text").alias("y")), "near")
-        return joined.select("doc", "near", "x", "y").mapInArrow(verify, "doc long, near long, begin int, end int, near_begin int, near_end int, similarity double")
+        return joined.select("doc", "near", "x", "y").mapInArrow(verify, _LINK_SQL)
 
     edges = lambda links: links.select(F.col("doc").alias("u"), F.col("near").alias("v"))
-    links = written(verified(pairs), "links")
-    more = _apart(windows, first, components(edges(links)), agreeing).join(pairs, ["doc", "near"], "left_anti")
-    links = written(links.unionByName(verified(written(more, "pairs"))), "links")
+    links = written(verified(pairs, only), "links")
+    rooted = _rooted(windows, first, components(edges(links)))
+    able = written(_able(blocked, rooted, buckets, least, percent), "able")
+    more, met = _apart(rooted.join(able.select("doc", "strong"), "doc"), able.select("doc", "spans", "tokens"), agreeing, least, percent)
+    more = written(more.join(pairs, ["doc", "near"], "left_anti"), "pairs")
+    links = links.unionByName(verified(more, able.select(F.col("doc").alias("doc_id"), "text"))).unionByName(met.join(pairs.unionByName(more), ["doc", "near"], "left_anti"))
+    links = written(links, "links")
     root = components(edges(links)).select(F.col("node").alias("rep"), "root")
     listed = links.groupBy(F.col("doc").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", F.col("near").alias("other"), "near_begin", "near_end", "similarity"))).alias("passages"))
     kind = listed.schema["passages"].dataType
@@ -266,20 +275,129 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
     return found.unionByName(unnamed).select("doc_id", F.size(passages).alias("n_passages"), F.coalesce("root", "rep").alias("component_id"), passages.alias("passages"))
 
 
-def _apart(windows: DataFrame, first: DataFrame, roots: DataFrame, agreeing: int) -> DataFrame:
-    """The pairs (doc, near) of different components in which the signatures of ``agreeing`` functions or more meet.
+def _rooted(windows: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (key, f, doc, root) of the signatures that texts of different components have."""
+    rooted = windows.select("key", "f", "doc").join(first.select("key"), "key").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    unlike = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return written(rooted.join(unlike, "key"), "rooted")
+
+
+def _able(blocked: DataFrame, rooted: DataFrame, buckets: int, least: int, percent: int) -> DataFrame:
+    """(doc, strong, spans, tokens, text) of the texts that can share a passage with one of another component.
 
-    Pairs with a signature of at most ``SHORT_LIST`` texts are met in SQL. Those that have but longer ones are met in the
-    rarest of these, block by block; there only texts with longer lists of enough other functions count.
+    The tokens that two texts share are all among those that texts of several components hold. So a stretch of common
+    tokens lies in a stretch of such tokens, and one of the two texts has one of ``least`` tokens: it is ``strong``. spans
+    are begins and ends of the stretches, tokens what they hold.
     """
-    rooted = windows.select("key", "f", "doc").join(first.select("key", "n"), "key").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    unlike = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    short = least * percent // 100
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            ids = expand(row["ids"], np.int64)
+            yield pa.RecordBatch.from_pydict({"block": np.full(len(ids), row["block"]), "doc": ids})
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each token of the asked texts of a block, dealt by its hash, with a component that holds it; ``several`` do."""
+        out: dict[str, list] = {"bucket": [], "block": [], "keys": [], "roots": [], "several": []}
+        asked = right.sort_by("doc")
+        docs, roots = asked.column("doc").to_numpy(), asked.column("root").to_numpy()
+        for row in left.to_pylist() if len(docs) else []:
+            data, starts, ids = _opened(row)
+            hashes, at = tokens(data, starts)
+            spot = np.searchsorted(docs, ids).clip(0, len(docs) - 1)
+            mine = np.repeat(docs[spot] == ids, np.diff(at))
+            key, root = hashes[mine] >> _CUT, np.repeat(roots[spot], np.diff(at))[mine]
+            order = np.lexsort((root, key))
+            key, root = key[order], root[order]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            key, low, high = key[new], root[new], root[np.append(new[1:], len(key)) - 1] if len(new) else root[new]
+            order, met, bounds = _dealt(key, buckets)
+            key, low, several = key[order], low[order], (low != high)[order]
+            for bucket, a, b in zip(met.tolist(), bounds[:-1], bounds[1:], strict=True):
+                for name, value in zip(out, (bucket, row["block"], pack_sorted(key[a:b]), _planes(low[a:b]), squeeze(several[a:b])), strict=True):
+                    out[name].append(value)
+        return pa.table(out, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("roots", pa.binary()), ("several", pa.binary())]))
+
+    def meet(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        key = [open_sorted(r["keys"]) for r in rows]
+        block = np.repeat([r["block"] for r in rows], [len(k) for k in key])
+        key, root, several = np.concatenate(key), np.concatenate([_unplaned(r["roots"]) for r in rows]), np.concatenate([expand(r["several"], bool) for r in rows])
+        order = np.argsort(key, kind="stable")
+        key, root, several, block = key[order], root[order], several[order], block[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        shared = (np.minimum.reduceat(root, new) < np.maximum.reduceat(root, new)) | np.logical_or.reduceat(several, new)
+        shared = np.repeat(shared, np.diff(np.append(new, len(key))))
+        key, block = key[shared], block[shared]
+        order = np.lexsort((key, block))
+        key, block = key[order], block[order]
+        met, begin = np.unique(block, return_index=True)
+        ends = np.append(begin[1:], len(key))
+        return pa.table({"block": pa.array(met, pa.int64()), "keys": pa.array([pack_sorted(key[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary())})
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        got = right.to_pylist()
+        known = np.sort(np.concatenate([open_sorted(r["keys"]) for r in got])) if got else np.zeros(0, np.uint64)
+        for row in left.to_pylist() if len(known) else []:
+            data, starts, ids = _opened(row)
+            hashes, at = tokens(data, starts)
+            key = hashes >> _CUT
+            common = known[np.searchsorted(known, key).clip(0, len(known) - 1)] == key
+            for i in np.flatnonzero(np.add.reduceat(np.append(common, False), at[:-1]) * (np.diff(at) > 0) >= short).tolist():
+                found = sorted(stretches(common[at[i] : at[i + 1]], short))
+                if found:
+                    held = np.concatenate([hashes[at[i] + a : at[i] + b] for a, b in found])
+                    out.append((int(ids[i]), max(b - a for a, b in found) >= least, [x for span in found for x in span], held.tobytes(), data[starts[i] : starts[i + 1]].tobytes().decode()))
+        doc, strong, spans, held, text = list(zip(*out, strict=True)) or [()] * 5
+        return pa.table({"doc": pa.array(doc, pa.int64()), "strong": pa.array(strong, pa.bool_()), "spans": pa.array(spans, pa.list_(pa.int32())), "tokens": pa.array(held, pa.binary()), "text": pa.array(text, pa.string())})
+
+    asked = rooted.select("doc", "root").distinct()
+    placed = blocked.select("block", "ids").mapInArrow(place, "block long, doc long").join(asked, "doc")
+    texts = blocked.select("block", "texts", "starts", "ids").groupBy("block")
+    counted = texts.cogroup(placed.groupBy("block")).applyInArrow(count, "bucket long, block long, keys binary, roots binary, several binary")
+    shared = written(counted.groupBy("bucket").applyInArrow(meet, "block long, keys binary"), "shared")
+    able = texts.cogroup(shared.groupBy("block")).applyInArrow(run, "doc long, strong boolean, spans array<int>, tokens binary, text string")
+    return able.join(asked.select("doc"), "doc", "left_semi")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, their bytes by significance."""
+    return squeeze(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def _unplaned(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(expand(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def laid_out(spans: list[int], held: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a text's stretches with their positions; gaps are of tokens that no other text has, long enough never to be bridged."""
+    values, places, done = [], [], 0
+    for k, (begin, end) in enumerate(zip(spans[::2], spans[1::2], strict=True)):
+        if k:
+            gap = min(begin - spans[2 * k - 1], len(held) // 4 + 1)
+            values.append((name << 32) + done + np.arange(gap))
+            places.append(spans[2 * k - 1] + np.arange(gap))
+        values.append(held[done : done + end - begin].view(np.int64))
+        places.append(np.arange(begin, end))
+        done += end - begin
+    return np.concatenate(values).view(np.uint64), np.concatenate(places)
+
+
+def _apart(rooted: DataFrame, stretched: DataFrame, agreeing: int, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different components, one of them strong, in which the signatures of ``agreeing`` functions or more meet.
+
+    First the pairs (doc, near) with a signature of at most ``SHORT_LIST`` texts, met in SQL. Those that have but longer
+    ones are met in the rarest that they share, block by block, only of texts with longer lists of enough other functions;
+    their stretches (doc, spans, tokens) are held against each other there, and their passages are the second table.
+    """
+    unlike = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("strong").alias("any"), F.count("*").alias("n")).filter("low < high AND any").select("key", "n")
     rooted = written(rooted.join(unlike, "key"), "rooted")
     short, long = rooted.filter(F.col("n") <= SHORT_LIST), rooted.filter(F.col("n") > SHORT_LIST)
     held = written(long.groupBy("doc").agg(F.collect_list(F.struct("f", "n", "key")).alias("listed")), "listed")
 
     x, y = short.alias("x"), short.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.root") != F.col("y.root")))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.strong") | F.col("y.strong")))
     met = met.groupBy(F.col("x.doc").alias("doc"), F.col("y.doc").alias("near")).agg(F.collect_set("x.f").alias("fs"))
     met = met.join(held.withColumnRenamed("listed", "a"), "doc", "left").join(held.select(F.col("doc").alias("near"), F.col("listed").alias("b")), "near", "left")
     both = F.coalesce(F.transform(F.array_intersect("a", "b"), lambda v: v["f"]), F.array().cast("array<int>"))
@@ -290,14 +408,16 @@ def _apart(windows: DataFrame, first: DataFrame, roots: DataFrame, agreeing: int
     sizes = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "size")
     blocks_ = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = dealt.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), blocks_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root", F.transform("listed", lambda v: v["f"]).alias("fs"), F.transform("listed", lambda v: v["key"]).alias("keys"))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root", "strong", F.transform("listed", lambda v: v["f"]).alias("fs"), F.transform("listed", lambda v: v["key"]).alias("keys"), F.transform("listed", lambda v: v["n"]).alias("ns")).join(stretched, "doc")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        _, i, j = (x.as_py() for x in key)
-        ids, roots, block = (group.column(c).to_numpy() for c in ("doc", "root", "block"))
+        here, i, j = (x.as_py() for x in key)
+        ids, roots, block, strong = (group.column(c).to_numpy() for c in ("doc", "root", "block", "strong"))
         rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
         spots: dict[int, dict[int, list[int]]] = {}
-        for r, (fs, keys) in enumerate(zip(group.column("fs").to_pylist(), group.column("keys").to_pylist(), strict=True)):
+        sizes: dict[int, int] = {}
+        for r, (fs, keys, ns) in enumerate(zip(*(group.column(c).to_pylist() for c in ("fs", "keys", "ns")), strict=True)):
+            sizes.update(zip(keys, ns, strict=True))
             for f, k in zip(fs, keys, strict=True):
                 spots.setdefault(f, {}).setdefault(k, []).append(r)
         place = np.empty(len(ids), np.int64)
@@ -305,16 +425,43 @@ def _apart(windows: DataFrame, first: DataFrame, roots: DataFrame, agreeing: int
         row_place = np.empty(len(ids), np.int64)
         row_place[rows] = np.arange(len(rows))
         functions = np.zeros((len(rows), len(columns)), np.uint8)
+        elsewhere = (roots[rows][:, None] == roots[columns]) | ~(strong[rows][:, None] | strong[columns])
+        if i == j:
+            elsewhere |= ids[rows][:, None] < ids[columns]
         for own in spots.values():
             meet = np.zeros(functions.shape, bool)
-            for there in (np.array(x) for x in own.values() if len(x) > 1):
-                meet[np.ix_(row_place[there[block[there] == i]], place[there[block[there] == j]])] = True
+            for k, there in ((k, np.array(x)) for k, x in own.items() if len(x) > 1):
+                where = np.ix_(row_place[there[block[there] == i]], place[there[block[there] == j]])
+                meet[where] = True
+                if (sizes[k], k) < (sizes[here], here):
+                    elsewhere[where] = True
             functions += meet
-        a, b = np.nonzero((functions >= agreeing) & (roots[rows][:, None] != roots[columns]))
-        a, b = ids[rows[a]], ids[columns[b]]
-        return pa.table({"doc": np.maximum(a, b), "near": np.minimum(a, b)})
-
-    return met.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(run, "doc long, near long")).distinct()
-
-
+        a, b = np.nonzero((functions >= agreeing) & ~elsewhere)
+        a, b = rows[a], columns[b]
+        swap = ids[a] < ids[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        spans, held = group.column("spans").to_pylist(), [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+        own = [np.unique(x) for x in held]
+        fewest = np.array([max(1, least - len(x) + len(y)) for x, y in zip(held, own, strict=True)])  # different tokens of a passage at least
+        laid: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        out = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            both = np.concatenate([own[x], own[y]])
+            both.sort()
+            if 100 * np.count_nonzero(both[1:] == both[:-1]) < percent * min(fewest[x], fewest[y]):
+                continue
+            for z in (x, y):
+                if z not in laid:
+                    laid[z] = laid_out(spans[z], held[z], z)
+            (one, p), (two, q) = laid[x], laid[y]
+            for lo, hi, begin, end, similarity in shared_passages(one, two, least, percent):
+                out.append((int(ids[x]), int(ids[y]), int(p[lo]), int(p[hi - 1]) + WORDS, int(q[begin]), int(q[end - 1]) + WORDS, similarity))
+        columns_ = list(zip(*out, strict=True)) or [()] * 7
+        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_LINK, columns_, strict=True)}, _LINK)
+
+    return met.distinct(), dealt.groupBy("key", "i", "j").applyInArrow(run, _LINK_SQL)
+
+
+_LINK = pa.schema([("doc", pa.int64()), ("near", pa.int64()), *((c, pa.int32()) for c in ("begin", "end", "near_begin", "near_end")), ("similarity", pa.float64())])
+_LINK_SQL = "doc long, near long, begin int, end int, near_begin int, near_end int, similarity double"
 _WINDOW = [("key", pa.int64()), ("f", pa.int32()), ("doc", pa.int64()), ("near", pa.int64())]

@@ -293,6 +293,31 @@ def test_passages_behind_scattered_firsts(spark, monkeypatch):
         assert [got[10 * k + 6] for k in range(many)] == [10 * k + 5 for k in range(many)]
 
 
+@pytest.mark.parametrize("short", [64, 1])
+def test_texts_that_share_a_line_are_not_paired(spark, monkeypatch, short):
+    """A line of many texts that is no passage leads to no pairs, and the passages that some of them share are found all the same."""
+    draw = random.Random(11)
+    word = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    line, passage = word(44), word(70)
+    rows = [(i, " ".join(word(60) + line + word(60))) for i in range(200)]
+    # three slices come first under most functions; two texts share the whole of it, behind the line
+    rows += [(200 + i, " ".join(line + word(40) + passage[23 * i : 23 * i + 23] + word(40))) for i in range(3)]
+    rows += [(300 + i, " ".join(word(10 * i) + line + word(50) + passage)) for i in range(2)]
+    counts = []
+
+    def counted(df, name, written=passages.written):
+        out = written(df, name)
+        counts.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(passages, "written", counted)
+    monkeypatch.setattr(passages, "SHORT_LIST", short)
+    got = {r.doc_id: r for r in passages.near_passages(frame(spark, rows)).collect()}
+    assert [(p.begin, p.end, p.other, p.near_begin, p.near_end) for p in got[301].passages if p.other == 300] == [(104, 174, 300, 94, 164)]
+    assert got[301].component_id == 300 and sum(r.n_passages for r in got.values()) == 1
+    assert sum(n for name, n in counts if name == "pairs") < 3 * len(rows)
+
+
 def test_all_passages_of_a_pair(spark):
     draw = random.Random(3)
     word = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
