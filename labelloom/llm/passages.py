@@ -307,10 +307,12 @@ def _able(blocked: DataFrame, rooted: DataFrame, buckets: int, least: int, perce
             spot = np.searchsorted(docs, ids).clip(0, len(docs) - 1)
             mine = np.repeat(docs[spot] == ids, np.diff(at))
             key, root = hashes[mine] >> _CUT, np.repeat(roots[spot], np.diff(at))[mine]
-            order = np.lexsort((root, key))
+            if not len(key):
+                continue
+            order = np.argsort(key)
             key, root = key[order], root[order]
-            new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            key, low, high = key[new], root[new], root[np.append(new[1:], len(key)) - 1] if len(new) else root[new]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, low, high = key[new], np.minimum.reduceat(root, new), np.maximum.reduceat(root, new)
             order, met, bounds = _dealt(key, buckets)
             key, low, several = key[order], low[order], (low != high)[order]
             for bucket, a, b in zip(met.tolist(), bounds[:-1], bounds[1:], strict=True):
@@ -323,7 +325,7 @@ def _able(blocked: DataFrame, rooted: DataFrame, buckets: int, least: int, perce
         key = [open_sorted(r["keys"]) for r in rows]
         block = np.repeat([r["block"] for r in rows], [len(k) for k in key])
         key, root, several = np.concatenate(key), np.concatenate([_unplaned(r["roots"]) for r in rows]), np.concatenate([expand(r["several"], bool) for r in rows])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, root, several, block = key[order], root[order], several[order], block[order]
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         shared = (np.minimum.reduceat(root, new) < np.maximum.reduceat(root, new)) | np.logical_or.reduceat(several, new)
@@ -425,6 +427,7 @@ def _apart(rooted: DataFrame, stretched: DataFrame, agreeing: int, least: int, p
         row_place = np.empty(len(ids), np.int64)
         row_place[rows] = np.arange(len(rows))
         functions = np.zeros((len(rows), len(columns)), np.uint8)
+        # pairs of a component, without a strong text, twice in the block, or met in a rarer signature
         elsewhere = (roots[rows][:, None] == roots[columns]) | ~(strong[rows][:, None] | strong[columns])
         if i == j:
             elsewhere |= ids[rows][:, None] < ids[columns]
@@ -440,20 +443,20 @@ def _apart(rooted: DataFrame, stretched: DataFrame, agreeing: int, least: int, p
         a, b = rows[a], columns[b]
         swap = ids[a] < ids[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        spans, held = group.column("spans").to_pylist(), [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        own = [np.unique(x) for x in held]
-        fewest = np.array([max(1, least - len(x) + len(y)) for x, y in zip(held, own, strict=True)])  # different tokens of a passage at least
-        laid: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        out = []
+        spans, tokens_, out = group.column("spans"), group.column("tokens"), []
+        opened: dict[int, tuple[np.ndarray, int, np.ndarray, np.ndarray]] = {}
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            both = np.concatenate([own[x], own[y]])
+            for z in (x, y):
+                if z not in opened:
+                    held = np.frombuffer(tokens_[z].as_py(), np.uint64)
+                    own = np.unique(held)
+                    # a passage has so many different tokens at least
+                    opened[z] = own, max(1, least - len(held) + len(own)), *laid_out(spans[z].as_py(), held, z)
+            (first, n, one, p), (second, m, two, q) = opened[x], opened[y]
+            both = np.concatenate([first, second])
             both.sort()
-            if 100 * np.count_nonzero(both[1:] == both[:-1]) < percent * min(fewest[x], fewest[y]):
+            if 100 * np.count_nonzero(both[1:] == both[:-1]) < percent * min(n, m):
                 continue
-            for z in (x, y):
-                if z not in laid:
-                    laid[z] = laid_out(spans[z], held[z], z)
-            (one, p), (two, q) = laid[x], laid[y]
             for lo, hi, begin, end, similarity in shared_passages(one, two, least, percent):
                 out.append((int(ids[x]), int(ids[y]), int(p[lo]), int(p[hi - 1]) + WORDS, int(q[begin]), int(q[end - 1]) + WORDS, similarity))
         columns_ = list(zip(*out, strict=True)) or [()] * 7
