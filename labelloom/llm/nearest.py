@@ -1,181 +1,187 @@
-"""Nearest neighbours by largest inner product, over randomly rotated one-bit codes.
+"""Nearest neighbours by largest inner product, by products of whole blocks.
 
-Vectors, less the mean of a bounded sample, are rotated at random and each coordinate keeps its sign: D bits, packed,
-with two scalars, the length and the code's inner product with the direction it stands for. A query is rotated alike
-and cut to ``QUERY_BITS``-bit levels, so the inner product with a code is a sum of bit counts over its bit planes;
-divided by the scalar that is an unbiased estimate, with a known error bound. In each tile the vectors of best estimate
-are scored first; then only those whose upper bound reaches the k-th score so far are scored exactly, on the original
-vectors in double precision.
+Vectors are packed, ``TILE_VECTORS`` a row at most, queries ``TILE_QUERIES`` a row, and each block of queries meets each
+block of vectors: of that pair one matrix product in single precision estimates all inner products, with a bound on
+their error that holds whatever the order of the sums. Only pairs whose estimate comes within that bound of the query's
+k-th score so far are scored exactly, on the original vectors in double precision, so the result is exact.
 
-The work is a grid of tiles, ``TILE_QUERIES`` queries by ``TILE_VECTORS`` vectors: each query goes to every tile of
-its row and each vector to every tile of its column, and of each tile the k best go on.
+A task takes some blocks of queries through a chunk of the blocks of vectors and passes on the k best of each query, so
+no vector is shuffled for the search: the packed tables are read as they were written, and there are few chunks.
 
-Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without vec_id.
-Rows that repeat id and vector count once; an id with several vectors is several rows. Only vectors of the query's
-length are its candidates. Ties go to the smaller vec_id.
+Of equal vectors in a block only those of least vec_id stay that can be among the k best. Vectors that are null, empty,
+zero, or hold null or non-finite components take no part, nor do rows without vec_id. Rows that repeat id and vector
+count once; an id with several vectors is several rows. Only vectors of the query's length are its candidates. Ties go to
+the smaller vec_id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import partitions, written
 
-QUERY_BITS = 6
 TILE_QUERIES, TILE_VECTORS = 4096, 16384
-#: Standard deviations of the estimate that the bound allows for.
-SPREAD = 3.5
-#: Vectors whose mean is taken off.
-CENTRE_ROWS = 1000
-#: More lengths of vectors than this are an error.
-LENGTHS = 1000
-_CODED = "dim int, vec_id long, tile int, vec binary, code binary, norm double, fit double"
-
-
-def rotation(dim: int, seed: int = 7) -> np.ndarray:
-    """A random orthogonal matrix of the next multiple of 64."""
-    d = -(-dim // 64) * 64
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
-
-
-def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs of the rotated rows, the rows' lengths, and the inner product of each code with its row's direction."""
-    d = len(turn)
-    turned = x @ turn[: x.shape[1]]
-    norm = np.sqrt((turned**2).sum(1))
-    sign = turned >= 0
-    fit = np.abs(turned).sum(1) / np.where(norm > 0, norm, 1) / np.sqrt(d)
-    return np.packbits(sign, axis=1, bitorder="little").view("<u8"), norm, np.where(norm > 0, fit, 1)
-
-
-def estimates(query: np.ndarray, code: np.ndarray, norm: np.ndarray, fit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of one query (centred on nothing) with coded rows, and their error bounds."""
-    d = len(turn)
-    turned = query @ turn[: len(query)]
-    low, high = turned.min(), turned.max()
-    step = (high - low) / ((1 << QUERY_BITS) - 1) or 1.0
-    level = np.rint((turned - low) / step).astype(np.uint64)
-    counted = np.zeros(len(code), np.int64)
-    for word in range(d // 64):
-        own = code[:, word]
-        for j in range(QUERY_BITS):
-            plane = np.packbits(((level[word * 64 : word * 64 + 64] >> np.uint64(j)) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")[0]
-            counted += np.bitwise_count(own & plane).astype(np.int64) << j
-    ones = np.zeros(len(code), np.int64)
-    for word in range(d // 64):
-        ones += np.bitwise_count(code[:, word])
-    inner = (2 * (low * ones + step * counted) - (low * d + step * float(level.sum()))) / np.sqrt(d)
-    scale = np.sqrt((query**2).sum())
-    wide = SPREAD * scale * np.sqrt(np.maximum(0, 1 - fit**2) / fit**2 / max(1, d - 1)) + step / 2 / fit
-    return norm * inner / fit, norm * wide
-
-
-def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the components."""
-    out = np.zeros(len(rows))
-    for i in range(len(query)):
-        out += query[i] * rows[:, i]
+#: Bytes of the vectors of a block, at most (one vector at least).
+BLOCK_BYTES = 4 << 20
+#: Queries that one product takes.
+STEP = 256
+#: Blocks of vectors that a task takes, about; no more chunks than ``CHUNKS`` if fewer do.
+CHUNK_BLOCKS, CHUNKS = 128, 8
+_PACKED = "dim int, ids binary, vecs binary"
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def exact(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows in double precision, summed in the order of the components."""
+    out = np.zeros(len(q))
+    for i in range(queries.shape[1]):
+        out += queries[q, i].astype(np.float64) * rows[at, i].astype(np.float64)
     return out
 
 
-def search_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, code: np.ndarray, norm: np.ndarray, fit: np.ndarray, centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of queries and vectors, and scores, of each query's k best in the tile."""
-    turn = rotation(queries.shape[1])
-    order = np.argsort(ids, kind="stable")
-    ids, rows, code, norm, fit = ids[order], rows[order], code[order], norm[order], fit[order]
-    found = []
-    for q in range(len(queries)):
-        query = queries[q]
-        lo, hi = np.searchsorted(ids, [query_ids[q], query_ids[q] + 1])
-        own = lo + np.flatnonzero((rows[lo:hi] == query).all(1)) if hi > lo else np.zeros(0, np.int64)
-        about, wide = estimates(query, code, norm, fit, turn)
-        about += float(query @ centre)
-        about[own], wide[own] = -np.inf, 0
-        most = len(ids) - len(own)
-        first = np.argpartition(-about, min(3 * k, len(about) - 1))[: 3 * k] if len(about) > 3 * k else np.arange(len(about))
-        first = first[about[first] > -np.inf]
-        if not most:
-            continue
-        score = exact(query, rows[first])
-        floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
-        rest = about + wide >= floor
-        rest[first], rest[own] = False, False
-        rest = np.flatnonzero(rest)
-        at, score = np.append(first, rest), np.append(score, exact(query, rows[rest]))
-        best = np.lexsort((ids[at], -score))[:k]
-        found.append((np.full(len(best), q), order[at[best]], score[best]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def least_copies(ids: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """The places, by id, of the rows less those that ``most`` equal rows of a lesser id precede."""
+    names = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, names))
+    first = np.flatnonzero(np.append(True, np.diff(names[order]) != 0))
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return np.sort(order[nth < most])
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    most = np.abs(rows).max(1).astype(np.float64)
+    return most * np.sqrt(((rows.astype(np.float64) / most[:, None]) ** 2).sum(1))
+
+
+class Search:
+    """The k best so far of the rows of one block of queries."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.norm = lengths(queries)
+        self.unit = (queries / self.norm[:, None]).astype(np.float32)
+        self.score = np.full((len(ids), k), -np.inf)
+        self.near = np.zeros((len(ids), k), np.int64)
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        norm = lengths(rows).max()
+        unit = (rows / norm).astype(np.float32).T
+        # of products of vectors no longer than 1: their rounding, and that of each term and sum, twice over
+        slack = (rows.shape[1] + 8) * 2.0**-23
+        for lo in range(0, len(self.ids), STEP):
+            hi = min(lo + STEP, len(self.ids))
+            about = self.unit[lo:hi] @ unit
+            floor = self.score[lo:hi, -1] / self.norm[lo:hi] / norm - slack
+            new = np.flatnonzero(np.isneginf(floor))
+            if len(new) and len(ids) > self.k + 1:  # the query itself may be one of them
+                floor[new] = np.partition(about[new], len(ids) - self.k - 1, axis=1)[:, len(ids) - self.k - 1] - 2 * slack
+            spots = np.flatnonzero(about >= np.nextafter(floor.astype(np.float32), np.float32(-np.inf))[:, None])
+            for part in np.array_split(spots, -(-len(spots) // (1 << 20)) or 1):
+                self._add(lo + part // len(ids), part % len(ids), ids, rows)
+
+    def _add(self, q: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        own = np.flatnonzero(self.ids[q] == ids[at])
+        if len(own):
+            other = np.ones(len(q), bool)
+            other[own] = (self.queries[q[own]] != rows[at[own]]).any(1)
+            q, at = q[other], at[other]
+        score = exact(self.queries, rows, q, at)
+        good = score >= self.score[q, -1]
+        q, near, score = q[good], ids[at[good]], score[good]
+        if not len(q):
+            return
+        some = np.unique(q)
+        held_q, held = np.repeat(some, self.k), ~np.isneginf(self.score[some]).ravel()
+        q, near, score = np.append(held_q[held], q), np.append(self.near[some].ravel()[held], near), np.append(self.score[some].ravel()[held], score)
+        order = np.lexsort((near, -score, q))
+        q, near, score = q[order], near[order], score[order]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        best = nth < self.k
+        self.near[q[best], nth[best]], self.score[q[best], nth[best]] = near[best], score[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, nth = np.nonzero(~np.isneginf(self.score))
+        return self.ids[q], self.near[q, nth], self.score[q, nth]
+
+
+def _packing(most: int, single: bool, copies: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (vec_id, v) as blocks of one length of vectors each; of equal vectors ``copies`` stay."""
+    kind = np.float32 if single else np.float64
+
+    def block(dim: int, ids: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        own, x = np.concatenate(ids), np.ascontiguousarray(np.concatenate(rows))
+        if copies:
+            kept = least_copies(own, x, copies)
+            own, x = own[kept], x[kept]
+        return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [own.tobytes()], "vecs": [x.tobytes()]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        held: dict[int, int] = {}
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy()
+            begin = np.cumsum(size) - size
+            for dim in np.unique(size).tolist():
+                own = np.flatnonzero(size == dim)
+                fit = max(1, min(most, BLOCK_BYTES // (dim * np.dtype(kind).itemsize)))
+                while len(own):
+                    take, own = np.split(own, [fit - held.get(dim, 0)])
+                    x = flat[begin[take][:, None] + np.arange(dim)].astype(kind) + kind(0)  # no negative zeros
+                    parts = open_.setdefault(dim, ([], []))
+                    parts[0].append(ids[take])
+                    parts[1].append(x)
+                    held[dim] = held.get(dim, 0) + len(take)
+                    if held[dim] == fit:
+                        yield block(dim, *open_.pop(dim))
+                        del held[dim]
+        for dim, parts in open_.items():
+            yield block(dim, *parts)
+
+    return run
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """The k nearest of each query among all other rows of ``vectors`` (vec_id, embedding): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    whole = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "float" if single else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     sound = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(sound).distinct()
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).limit(LENGTHS + 1).collect()}
-    if len(sizes) > LENGTHS:
-        raise ValueError(f"vectors of over {LENGTHS} lengths")
-    centres = {}
-    for dim in sizes:
-        some = [r["v"] for r in rows.filter(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE_ROWS).select("v").collect()]
-        centres[dim] = np.mean(np.array(some, np.float64), axis=0)
-    columns = {dim: max(1, -(-n // TILE_VECTORS)) for dim, n in sizes.items()}
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = TaskContext.get().partitionId() * 7919
-        for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
-            size = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy()
-            begin = np.cumsum(size) - size
-            for dim in np.unique(size).tolist():
-                own = np.flatnonzero(size == dim)
-                x = flat[(begin[own][:, None] + np.arange(dim))].astype(np.float64)
-                code, norm, fit = codes(x - centres[dim], rotation(dim))
-                tile = (seen + np.arange(len(own))) % columns[dim]
-                seen += len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), dim, np.int32)), ids.take(pa.array(own)), pa.array(tile.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(norm), pa.array(fit)],
-                    ["dim", "vec_id", "tile", "vec", "code", "norm", "fit"],
-                )
-
-    coded = written(rows.mapInArrow(encode, _CODED), "codes")
-    asked = coded.filter(is_query)
-    asks = {r["dim"]: r["count"] for r in asked.groupBy("dim").count().collect()}
-    lines = {dim: max(1, -(-n // TILE_QUERIES)) for dim, n in asks.items()}
+    few = min(8, partitions(spark))
+    tasks = lambda df, most: max(few, -(-df.count() // most))
+    blocks = written(rows.coalesce(tasks(vectors, TILE_VECTORS)).mapInArrow(_packing(TILE_VECTORS, single, k + 1), _PACKED), "vectors")
+    asked = written(rows.filter(is_query).coalesce(tasks(vectors.filter(is_query), TILE_QUERIES)).mapInArrow(_packing(TILE_QUERIES, single, None), _PACKED), "queries")
+    lines, n = asked.count(), blocks.count()
     if not lines:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    count = lambda by: F.element_at(F.create_map(*(F.lit(x) for pair in by.items() for x in pair)), F.col("dim"))
-    left = asked.withColumn("line", F.pmod(F.xxhash64("vec_id", "vec"), count(lines)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), count(columns) - 1)))
-    right = coded.filter(F.col("dim").isin(list(lines))).withColumn("line", F.explode(F.sequence(F.lit(0), count(lines) - 1)))
-    keys = ["dim", "line", "tile"]
-
-    def search(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        dim = key[0].as_py()
-        empty = not a.num_rows or not b.num_rows
-        ids = b.column("vec_id").to_numpy()
-        if empty:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        code = np.frombuffer(b"".join(b.column("code").to_pylist()), "<u8").reshape(len(ids), -1)
-        query_ids = a.column("vec_id").to_numpy()
-        q, at, score = search_tile(query_ids, _matrix(a.column("vec"), dim), ids, _matrix(b.column("vec"), dim), code, b.column("norm").to_numpy(), b.column("fit").to_numpy(), centres[dim], k)
-        return pa.table({"query_id": query_ids[q], "vec_id": ids[at], "score": score})
-
-    pairs = left.select(*keys, "vec_id", "vec").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "vec", "code", "norm", "fit").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    chunks = min(n, max(-(-n // CHUNK_BLOCKS), min(CHUNKS, -(-partitions(spark) // lines))))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple[bytes, int], Search] = {}
+        for batch in batches:
+            names, width, a, x, b, y = batch.columns
+            for r in range(batch.num_rows):
+                matrix = lambda c, dim=width[r].as_py(): np.frombuffer(c[r].as_buffer(), np.float32 if single else np.float64).reshape(-1, dim)
+                name = names[r].as_py()
+                if name not in states:
+                    states[name] = Search(np.frombuffer(a[r].as_buffer(), np.int64).copy(), matrix(x).copy(), k)
+                states[name].meet(np.frombuffer(b[r].as_buffer(), np.int64), matrix(y))
+        for state in states.values():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in state.found()], ["query_id", "vec_id", "score"])
+
+    left = blocks.select(F.col("dim").alias("d"), F.col("ids").alias("b"), F.col("vecs").alias("y")).coalesce(chunks)
+    right = asked.select(F.monotonically_increasing_id().alias("name"), "dim", F.col("ids").alias("a"), F.col("vecs").alias("x")).repartition(lines, "name")
+    # lengths are compared so that all pairs of blocks are met where the vectors are: a join on them would gather these
+    met = left.hint("shuffle_replicate_nl").join(right.hint("shuffle_replicate_nl"), F.least("d", "dim") == F.greatest("d", "dim"))
+    pairs = met.select("name", "dim", "a", "x", "b", "y").mapInArrow(search, _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -351,3 +351,34 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[4][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(after)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_is_exact_over_many_blocks(spark, monkeypatch, kind):
+    """Large groups of copies, lengths far apart and one id of two vectors: the result is brute force's to the last tie."""
+    monkeypatch.setattr(nearest, "TILE_VECTORS", 64)
+    monkeypatch.setattr(nearest, "TILE_QUERIES", 8)
+    monkeypatch.setattr(nearest, "STEP", 3)
+    rng = np.random.default_rng(6)
+    one = lambda scale=1.0: (rng.standard_normal(8) * scale).astype(np.float32).tolist()
+    common, far = one(), 1e20 if kind == "double" else 1e10
+    rows = [(i, common if i % 3 == 0 else one([1.0, 1e-9, far][i % 7 % 3])) for i in range(400)]
+    rows += [(40, one()), (41, rows[42][1]), (500, [1.0, -0.0, 2.0]), (520, [0.5, 0.0, 1.0]), (3, rows[3][1])]
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(5), F.col("vec_id") % 20 == 0, 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    sound = {(i, tuple(v)) for i, v in rows}
+    want = {}
+    for i, v in sound:
+        if i % 20 == 0:
+            want.setdefault(i, []).extend((-float(np.cumsum(np.array(v) * np.array(w))[-1]), j) for j, w in sound if len(w) == len(v) and (j, w) != (i, v))
+    assert got == {i: [(j, -s) for s, j in sorted(x)[:6]] for i, x in want.items() if x}
+
+
+def test_no_vector_is_shuffled_for_each_line_of_queries(spark, monkeypatch):
+    """The search reads the packed vectors as they were written; the grid it replaced sent each vector to each line of queries."""
+    monkeypatch.setattr(nearest, "TILE_QUERIES", 2)
+    rng = np.random.default_rng(7)
+    vectors = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    plan = nearest.nearest(vectors, F.col("vec_id") % 20 == 0, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
