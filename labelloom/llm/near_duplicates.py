@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mixed, partitions, parts_of, span_hashes, text_blocks, written
+from ._common import mixed, partitions, parts_of, release, released, span_hashes, text_blocks, written
 from .byte_bpe import point_values
 from .components import components, forest_roots
 
@@ -43,6 +43,8 @@ BLOCK = 2048
 SLACK, WIDE_SLACK = 0.29, 0.15
 #: Of a comparison of whole sets, by 32 bits a value.
 WHOLE_SLACK = 0.01
+#: Letters whose shingles are made at a time.
+LETTERS = 1 << 18
 #: Rows of open lists that one task gets, about.
 TASK_ROWS = 8192
 
@@ -55,7 +57,7 @@ def shared(sizes, k: int = SKETCH):
 def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     factors = mixed(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
-    for first, end, points, starts, _ in text_blocks(texts):
+    for first, end, points, starts, _ in text_blocks(texts, LETTERS):
         blank = np.ones(len(points) + 2, bool)
         blank[1:-1] = (points == 32) | ((points >= 9) & (points <= 13))
         edge = np.zeros(len(points) + 1, bool)
@@ -83,7 +85,7 @@ def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
     """``(doc_id, n, a, b, sketch)``: set size, a 128-bit name of the set, its k least values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             n, a, b, least = [], [], [], []
             for x in shingles(batch.column(1).to_pylist(), words):
                 n.append(len(x))
@@ -93,7 +95,7 @@ def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(a), signed(b), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, a long, b long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, a long, b long, sketch array<long>")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -141,7 +143,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
 
         joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-        return joined.select("u", "v", "x", "y").mapInArrow(run, f"u struct<rep: {kind}, a: bigint>, v struct<rep: {kind}, a: bigint>")
+        return joined.select("u", "v", "x", "y").mapInArrow(lambda batches: released(run(batches)), f"u struct<rep: {kind}, a: bigint>, v struct<rep: {kind}, a: bigint>")
 
     # each with the most similar of its lists' first members
     close = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
@@ -190,7 +192,7 @@ def _wide(docs: DataFrame, words: int, wide: int) -> DataFrame:
                 prints.append((x[:wide] >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), batch.column(1)], ["rep", "a", "prints", "text"])
 
-    return docs.mapInArrow(run, f"rep {docs.schema['doc_id'].dataType.simpleString()}, a bigint, prints binary, text string")
+    return docs.mapInArrow(lambda batches: released(run(batches)), f"rep {docs.schema['doc_id'].dataType.simpleString()}, a bigint, prints binary, text string")
 
 
 def _open_pairs(rows: DataFrame, prints: DataFrame, percent: int, wide: int, block: int) -> DataFrame:
@@ -225,6 +227,7 @@ def _open_pairs(rows: DataFrame, prints: DataFrame, percent: int, wide: int, blo
                 us += part[found[0]].tolist()
                 vs += part[found[1]].tolist()
         nodes = group.column("node")
+        release()
         return pa.table({"u": nodes.take(pa.array(us, pa.int64())), "v": nodes.take(pa.array(vs, pa.int64()))})
 
     kind = rows.schema["node"].dataType.simpleString()

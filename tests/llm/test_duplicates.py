@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -382,3 +383,17 @@ def test_no_vector_is_shuffled_for_each_line_of_queries(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
     plan = nearest.nearest(vectors, F.col("vec_id") % 20 == 0, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate" not in plan
+
+
+def test_shingles_take_little_memory():
+    """The pipeline's executors hold two workers beside their heap; shingles of many texts are made some letters at a time."""
+    draw = random.Random(12)
+    texts = [" ".join(f"w{draw.randrange(10**5)}" for _ in range(350)) for _ in range(1000)]
+    for _ in near_duplicates.shingles(texts[:2], 5):  # tables that stay
+        pass
+    tracemalloc.start()
+    sizes = [len(x) for x in near_duplicates.shingles(texts, 5)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sizes) == 1000 and max(sizes) == 346
+    assert most < 20 << 20
