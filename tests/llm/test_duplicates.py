@@ -397,3 +397,10 @@ def test_shingles_take_little_memory():
     tracemalloc.stop()
     assert len(sizes) == 1000 and max(sizes) == 346
     assert most < 20 << 20
+
+
+def test_within():
+    rng = np.random.default_rng(13)
+    for n, m in ((0, 0), (0, 5), (5, 0), (1, 1), (40, 7), (7, 40), (300, 300)):
+        a, b = (rng.integers(0, 60, x).astype(np.uint64) << np.uint64(58) for x in (n, m))
+        assert passages.within(a, b).tolist() == np.isin(a, b).tolist()
