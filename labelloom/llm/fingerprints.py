@@ -5,11 +5,11 @@ without carry, so moving on by a byte is a shift, the old byte out and the new o
 hashes the least is selected, the rightmost of equal ones, and kept with its position. Two texts that share
 ``GRAM + WINDOW - 1`` bytes select a common hash there.
 
-Texts are cut into blocks of ``BLOCK`` windows, a row each, overlapping by a window and a gram, so the work takes the
-memory of a block, however long the text. In a block hashes are made from their neighbours over 1, 3 and 12 bytes,
-minima over ``_STEP`` hashes and over as many of these as make up the window. A hash of 54 bits and its place in the
-block are one long, the hash above, the place below and falling from left to right, so the least long of a window is
-its selection.
+Texts are cut into stretches and these into blocks of ``BLOCK`` windows, a row each, overlapping by a window and a gram,
+so the work takes the memory of a block, however long the text. In a block each place is a column, and so generated
+code: hashes are made from their neighbours over 1, 3 and 12 bytes, minima over ``_STEP`` hashes and over as many of
+these as make up the window. A hash of 54 bits and its place in the block are one long, the hash above, the place below
+and falling from left to right, so the least long of a window is its selection.
 
 A text shorter than a gram is one gram, one with fewer grams than a window is one window; null and empty texts have an
 empty fingerprint. The likeness of two fingerprints is the Jaccard similarity of their hashes, 1 for two empty ones.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ._common import partitions
 
-GRAM, WINDOW, BLOCK = 12, 32, 980
+GRAM, WINDOW, BLOCK = 12, 32, 112
+#: Windows of a stretch of whole blocks, which a text is cut into first.
+STRETCH = 80 * BLOCK
 #: Bytes of a block's windows, and of the stretch in which a cut changes what is selected, on either side.
 SPAN = BLOCK + WINDOW + GRAM - 2
 REACH = WINDOW + GRAM - 1
@@ -36,35 +38,41 @@ _PLACE = (1 << _BITS) - 1
 CELLS = "array<struct<h: bigint, p: int>>"
 
 
-def _pieces(raw: Column, part: int, start: Column | int = 0) -> Column:
-    """The blocks of a binary: ``part``, the position of the first byte (counted from ``start``), the bytes; one if it is empty."""
-    last = F.floor((F.greatest(F.octet_length(raw) - REACH, F.lit(0))) / BLOCK).cast("int")
-    cut = lambda r, b: F.struct(F.lit(part).alias("part"), (b * BLOCK + start).cast("int").alias("off"), F.substring(r, b * BLOCK + 1, F.lit(SPAN)).alias("raw"))
+def _pieces(raw: Column, part: Column | int, start: Column | int = 0, windows: int = STRETCH) -> Column:
+    """A binary cut every ``windows`` windows: ``part``, the position of the first byte (counted from ``start``), the bytes; one if it is empty."""
+    part = F.lit(part) if isinstance(part, int) else part
+    last = F.floor((F.greatest(F.octet_length(raw) - REACH, F.lit(0))) / windows).cast("int")
+    cut = lambda r, b: F.struct(part.alias("part"), (b * windows + start).cast("int").alias("off"), F.substring(r, b * windows + 1, F.lit(windows + REACH - 1)).alias("raw"))
     return F.transform(F.array(raw), lambda r: F.transform(F.sequence(F.lit(0), last), lambda b: cut(r, b)))[0]
 
 
-def _selected(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """``blocks`` (the keys and raw) with ``cells`` in place of raw: the selected longs of a block, from left to right."""
-    size = F.octet_length("raw")
-    held = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  as a lambda's variable it is made once
-    each = lambda values, of: held(values, lambda m: F.transform(m, lambda x, i: of(x, i, lambda j: F.get(m, i + j))))
-    cell = lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.lit(_PLACE).cast("long").bitwiseXOR(i))
-    one = held(F.col("raw"), lambda r: F.transform(F.sequence(F.lit(1), size), lambda i: F.xxhash64(F.substring(r, i, F.lit(1)))))
-    three = each(one, lambda x, i, after: F.shiftleft(x, 2).bitwiseXOR(F.shiftleft(after(1), 1)).bitwiseXOR(after(2)))
-    grams = each(three, lambda x, i, after: cell(F.shiftleft(x, 9).bitwiseXOR(F.shiftleft(after(3), 6)).bitwiseXOR(F.shiftleft(after(6), 3)).bitwiseXOR(after(9)), i))
-    near = each(grams, lambda x, i, after: F.least(x, *map(after, range(1, _STEP))))
-    least = each(near, lambda x, i, after: F.least(x, *map(after, range(_STEP, WINDOW, _STEP))))
-    found = (
-        F.when(size >= REACH, F.array_distinct(F.slice(least, F.lit(1), size - REACH + 1)))
-        .when(size >= GRAM, F.array(F.array_min(F.slice(grams, F.lit(1), size - GRAM + 1))))
-        .when(size > 0, F.array(cell(F.xxhash64("raw"), F.lit(0))))
-    )
-    return blocks.select(*keys, F.coalesce(found, F.array().cast("array<bigint>")).alias("cells"))
+def _selected(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """``stretches`` (the keys, part, off, raw) as rows of blocks, with ``cells`` in place of raw: the selected longs of a block, from left to right."""
+    blocks = stretches.select(*keys, F.inline(_pieces(F.col("raw"), F.col("part"), F.col("off"), BLOCK)))
+    kept = [*keys, "part", "off", "_size", "_short"]
+    # a column a place: so many columns are made by generated code, split into small methods, which lambdas over arrays are not
+    layer = lambda df, tag, n, of: df.selectExpr(*kept, *(f"{of(i)} as {tag}{i}" for i in range(n)))
+    joined = lambda tag, i, step, n, by: " ^ ".join(f"shiftleft({tag}{i + step * j}, {by * (n - 1 - j)})" if j < n - 1 else f"{tag}{i + step * j}" for j in range(n))
+    least = lambda tag, i, step, n: f"least({', '.join(f'{tag}{i + step * j}' for j in range(n))})"
+    cell = lambda h, i: f"((({h}) & {~_PLACE}L) | {_PLACE - i}L)"
+    # the grams that a first window lacks if it is the only one, of a short text
+    gram = lambda i: cell(joined("_u", i, 3, 4, 3), i) if not 0 < i < WINDOW else f"if(_size < {i + GRAM}, {(1 << 63) - 1}L, {cell(joined('_u', i, 3, 4, 3), i)})"
+
+    rows = blocks.select(*keys, "part", "off", "raw", F.octet_length("raw").alias("_size"), F.when(F.octet_length("raw") < GRAM, F.xxhash64("raw")).otherwise(F.lit(0)).alias("_short"))
+    rows = layer(rows, "_b", SPAN, lambda i: f"xxhash64(substring(raw, {i + 1}, 1))")
+    rows = layer(rows, "_u", SPAN - 2, lambda i: joined("_b", i, 1, 3, 1))
+    rows = layer(rows, "_g", BLOCK + WINDOW - 1, gram)
+    rows = layer(rows, "_n", BLOCK + WINDOW - _STEP, lambda i: least("_g", i, 1, _STEP))
+    rows = layer(rows, "_w", BLOCK, lambda i: least("_n", i, _STEP, WINDOW // _STEP))
+    all_ = f"array({', '.join(f'_w{i}' for i in range(BLOCK))})"
+    found = f"""case when _size >= {GRAM} then array_distinct(slice({all_}, 1, greatest(1, _size - {REACH - 1})))
+        when _size > 0 then array({cell("_short", 0)}) else cast(array() as array<bigint>) end as cells"""
+    return rows.selectExpr(*keys, "part", "off", found)
 
 
 def _gathered(pieces: str, part: int) -> Column:
     """The cells of a part's blocks in order, with hash and position; a selection that two blocks share counts once."""
-    own = F.array_sort(F.filter(pieces, lambda x: x["part"] == part))
+    own = F.sort_array(F.filter(pieces, lambda x: x["part"] == part))
     place = lambda c, off: (F.lit(_PLACE) - c.bitwiseAND(F.lit(_PLACE)).cast("int") + off).cast("int")
     placed = F.flatten(F.transform(own, lambda x: F.transform(x["cells"], lambda c: F.struct(F.shiftright(c, _BITS).alias("h"), place(c, x["off"]).alias("p")))))
     return F.transform(F.array(placed), lambda all_: F.filter(all_, lambda c, i: (i == 0) | (F.get(all_, i - 1)["p"] != c["p"])))[0]
@@ -75,7 +83,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = own.select("doc_id", F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("name"), _pieces(F.col("text").cast("binary"), 0).alias("pieces"))
     keys = ["doc_id", "n_bytes", "name"]
-    found = _selected(rows.select(*keys, F.inline("pieces")), [*keys, "part", "off"]).groupBy(*keys).agg(F.collect_set(F.struct("part", "off", "cells")).alias("pieces"))
+    found = _selected(rows.select(*keys, F.inline("pieces")), keys).groupBy(*keys).agg(F.collect_set(F.struct("part", "off", "cells")).alias("pieces"))
     return found.select("doc_id", "n_bytes", _gathered("pieces", 0).alias("cells"))
 
 
@@ -145,7 +153,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     keys = ["_to", "_row", "_late", "doc_id", "n_chars", "edited_sha256", "a", "n"]
     blocks = rows.select("_to", "_row", "_late", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), a.alias("a"), n.alias("n"), F.when(F.col("_late") > 0, parts[0]).otherwise(F.concat(*parts)).alias("pieces"))
     blocks = blocks.select(*keys, F.inline("pieces"))  # the texts end before their blocks become rows
-    found = _selected(blocks, [*keys, "part", "off"]).groupBy(*keys).agg(F.collect_list(F.struct("part", "off", "cells")).alias("pieces"))
+    found = _selected(blocks, keys).groupBy(*keys).agg(F.collect_list(F.struct("part", "off", "cells")).alias("pieces"))
     found = found.select(*keys, _gathered("pieces", 0).alias("cells"), _gathered("pieces", 1).alias("seam"), _gathered("pieces", 2).alias("end"))
     found = found.withColumn("next", F.coalesce(F.lead("cells").over(Window.partitionBy("_to").orderBy("_row")), F.array().cast(CELLS))).filter("_late = 0")
 

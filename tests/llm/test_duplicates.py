@@ -199,6 +199,19 @@ def test_winnowing_edges(spark, monkeypatch):
     assert Counter(map(tuple, fingerprints.fingerprint_edits(frame(spark, rows)).collect())) == whole
 
 
+def test_winnowing_over_blocks(spark):
+    draw = random.Random(9)
+    sizes = [n * fingerprints.BLOCK + fingerprints.REACH + d for n in (0, 1, 2, 80) for d in (-2, -1, 0, 1)]
+    rows = [(i, "".join(draw.choice(of) for _ in range(n))) for i, (n, of) in enumerate(itertools.product(sizes, ("abcdefgh", "ab", "a")))]
+    names = {bytes(r.x): r.h % 2**64 for r in spark.createDataFrame([(bytearray([c]),) for c in range(256)], "x binary").select("x", F.xxhash64("x").alias("h")).collect()}
+    found = fingerprints.fingerprint_edits(frame(spark, rows))
+    got = {r.doc_id: r.fingerprint for r in found.collect()}
+    assert got == {i: " ".join(f"{h % 2**54:X}:{p}" for h, p in winnowed(t.encode(), names)) for i, t in rows}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan
+    assert not re.search(r"lambdafunction\((xxhash64|least)", plan)  # the work on bytes is generated code, not lambdas
+
+
 def test_shared_passage_is_found(spark):
     draw = random.Random(2)
     text = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
