@@ -34,6 +34,8 @@ WORDS, MIN_WORDS, HASHES, AGREEING = 5, 50, 6, 3
 #: Signatures of up to so many texts pair these in SQL; longer lists go block by block.
 SHORT_LIST = 64
 BLOCK = 4096
+#: Bytes and tokens of whole texts that are worked on at a time: their arrays stay in a processor's cache.
+PART_BYTES, PART_TOKENS = 1 << 17, 1 << 16
 #: Bits of a token's hash that are left out where tokens are looked for in other texts: a false match only keeps a text.
 _CUT = np.uint64(20)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -53,7 +55,7 @@ def tokens(data: np.ndarray, starts: np.ndarray, words: int = WORDS) -> tuple[np
     factors = mixed(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
     out, counts, i = [], [], 0
     while i < len(starts) - 1:
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 20), side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PART_BYTES, side="right")) - 1)
         part, own = data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
         begin, end = word_bounds(part, own)
         low = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
@@ -77,20 +79,24 @@ def roots(hashed: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
     if len(hashed) < least:
         return np.zeros(0, np.int64)
     bits = np.uint64(int(len(hashed)).bit_length())
-    cells = (hashed >> bits << bits) | np.arange(len(hashed), dtype=np.uint64)
+    cells = hashed >> bits
+    cells <<= bits
+    cells |= np.arange(len(hashed), dtype=np.uint64)
     width = 1
     while 2 * width <= least:
         cells = np.minimum(cells[:-width], cells[width:])
         width *= 2
     if width < least:
         cells = np.minimum(cells[: -(least - width)], cells[least - width :])
-    change = np.zeros(len(cells) + 1, np.int64)
+    change = np.zeros(len(cells) + 1, np.int8)
     size = np.diff(at)
     long = size >= least
     np.add.at(change, at[:-1][long], 1)
     np.add.at(change, at[1:][long] - least + 1, -1)
-    inside = np.cumsum(change[:-1]) > 0
-    return np.unique(cells[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    cells = cells[np.cumsum(change[:-1], dtype=np.int8) > 0]
+    # from window to window the leftmost minimum never goes back, so equal ones are neighbours
+    new = np.append(True, cells[1:] != cells[:-1])[: len(cells)]
+    return (cells[new] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def extents(hashed: np.ndarray, at: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +119,15 @@ def extents(hashed: np.ndarray, at: np.ndarray, node: np.ndarray) -> tuple[np.nd
 
 def compact_windows(hashes: np.ndarray, at: np.ndarray, function: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The signature of each window under a function, and its node's position."""
-    own = mixed(hashes ^ _SEEDS[function])
-    node = roots(own, at, least)
-    return mixed(own[node] ^ _SEEDS[-1 - function]), node
+    keys, nodes, i = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + PART_TOKENS, side="right")) - 1)
+        own = mixed(hashes[at[i] : at[j]] ^ _SEEDS[function])
+        node = roots(own, at[i : j + 1] - at[i], least)
+        keys.append(mixed(own[node] ^ _SEEDS[-1 - function]))
+        nodes.append(node + at[i])
+        i = j
+    return np.concatenate(keys), np.concatenate(nodes)
 
 
 def stretches(common: np.ndarray, least: int) -> list[tuple[int, int]]:

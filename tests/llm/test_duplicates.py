@@ -267,6 +267,21 @@ def test_cartesian_tree_windows():
         assert want == list(zip(node, low, high, strict=True))
 
 
+def test_windows_of_many_texts():
+    rng = np.random.default_rng(3)
+    size = np.append(rng.integers(0, 400, 5000), [0, 100_000, 45, 46, 0])
+    at = np.cumsum(np.append(0, size))
+    h = passages.mixed(rng.integers(0, at[-1], at[-1]).astype(np.uint64))
+    tracemalloc.start()
+    key, node = passages.compact_windows(h, at, 2, 46)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < h.nbytes  # some texts at a time
+    found = [passages.compact_windows(h[a:b], np.array([0, b - a]), 2, 46) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert np.array_equal(key, np.concatenate([k for k, _ in found]))
+    assert np.array_equal(node, np.concatenate([p + a for (_, p), a in zip(found, at, strict=False)]))
+
+
 def test_passages(spark):
     draw = random.Random(1)
     word = lambda n: [f"w{draw.randrange(3000)}" for _ in range(n)]
