@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mixed, partitions, span_hashes, written
+from ._common import mixed, partitions, shuffles_released, span_hashes, written
 from .components import components
 from .substrings import BUCKET_BYTES, _dealt, _opened, blocks, expand, open_sorted, pack_sorted, repeated_keys, squeeze
 
@@ -205,6 +205,11 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> l
     return sorted(set(out))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    with shuffles_released(df.sparkSession):
+        return written(df, name)
+
+
 def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80, functions: int = HASHES, agreeing: int = AGREEING) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text) with a doc_id: doc_id, n_passages, component_id, and passages.
 
@@ -214,10 +219,11 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
     least = min_words - WORDS + 1
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     named = rows.select("doc_id", F.xxhash64("text").alias("a"), F.crc32(F.encode("text", "UTF-8")).alias("b"), F.octet_length("text").alias("n"))
-    texts = written(named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "texts")
-    members = written(named.join(texts, ["a", "b", "n"]).select("doc_id", "rep", "n"), "members")
+    texts = _kept(named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "texts")
+    members = _kept(named.join(texts, ["a", "b", "n"]).select("doc_id", "rep", "n"), "members")
     only = rows.join(members.filter("doc_id = rep AND n > 0").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    blocked = blocks(only, "text")
+    with shuffles_released(docs.sparkSession):
+        blocked = blocks(only, "text")
     total = blocked.agg(F.sum("size")).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), int(total // BUCKET_BYTES))
 
@@ -227,7 +233,7 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
         node = np.concatenate([x[1] for x in found])
         return np.concatenate([x[0] for x in found]), np.searchsorted(at, node, side="right") - 1
 
-    repeated = written(repeated_keys(blocked, keys_of, buckets, 1 << 60), "signatures")
+    repeated = _kept(repeated_keys(blocked, keys_of, buckets, 1 << 60), "signatures")
 
     def window_rows(left: pa.Table, right: pa.Table) -> pa.Table:
         """Each text's repeated signatures, once each, with the first text of the block that has them."""
@@ -250,12 +256,12 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
                 out.append(pa.table({"key": key.view(np.int64), "f": np.full(len(key), f, np.int32), "doc": doc, "near": doc[first]}))
         return pa.concat_tables(out) if out else pa.schema(_WINDOW).empty_table()
 
-    windows = written(blocked.select("block", "texts", "starts", "ids").groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(window_rows, "key long, f int, doc long, near long"), "windows")
-    first = written(windows.groupBy("key").agg(F.min("doc").alias("near"), F.count("*").alias("n")).filter("n > 1"), "first")
+    windows = _kept(blocked.select("block", "texts", "starts", "ids").groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(window_rows, "key long, f int, doc long, near long"), "windows")
+    first = _kept(windows.groupBy("key").agg(F.min("doc").alias("near"), F.count("*").alias("n")).filter("n > 1"), "first")
     local = windows.filter("near <> doc").select("f", "doc", "near")
     wide = windows.select("key", "f", "doc").join(first.select("key", "near"), "key").filter("near < doc").select(local.columns)
     pairs = local.unionByName(wide).distinct().groupBy("doc", "near").agg(F.count_distinct("f").alias("functions"))
-    pairs = written(pairs.filter(F.col("functions") >= agreeing).drop("functions"), "pairs")
+    pairs = _kept(pairs.filter(F.col("functions") >= agreeing).drop("functions"), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,18 +280,18 @@ def near_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 80
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The passages that the texts (doc_id, text) of the pairs (doc, near) share."""
         wanted = pairs.select(F.col("doc").alias("doc_id")).unionByName(pairs.select(F.col("near").alias("doc_id"))).distinct()
-        held = written(texts.join(wanted, "doc_id"), "held")
+        held = _kept(texts.join(wanted, "doc_id"), "held")
         joined = pairs.join(held.select(F.col("doc_id").alias("doc"), F.col("text").alias("x")), "doc").join(held.select(F.col("doc_id").alias("near"), F.col("text").alias("y")), "near")
         return joined.select("doc", "near", "x", "y").mapInArrow(verify, _LINK_SQL)
 
     edges = lambda links: links.select(F.col("doc").alias("u"), F.col("near").alias("v"))
-    links = written(verified(pairs, only), "links")
+    links = _kept(verified(pairs, only), "links")
     rooted = _rooted(windows, first, components(edges(links)))
-    able = written(_able(blocked, rooted, buckets, least, percent), "able")
+    able = _kept(_able(blocked, rooted, buckets, least, percent), "able")
     more, met = _apart(rooted.join(able.select("doc", "strong"), "doc"), able.select("doc", "spans", "tokens"), agreeing, least, percent)
-    more = written(more.join(pairs, ["doc", "near"], "left_anti"), "pairs")
+    more = _kept(more.join(pairs, ["doc", "near"], "left_anti"), "pairs")
     links = links.unionByName(verified(more, able.select(F.col("doc").alias("doc_id"), "text"))).unionByName(met.join(pairs.unionByName(more), ["doc", "near"], "left_anti"))
-    links = written(links, "links")
+    links = _kept(links, "links")
     root = components(edges(links)).select(F.col("node").alias("rep"), "root")
     listed = links.groupBy(F.col("doc").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", F.col("near").alias("other"), "near_begin", "near_end", "similarity"))).alias("passages"))
     kind = listed.schema["passages"].dataType
@@ -299,7 +305,7 @@ def _rooted(windows: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame
     """The rows (key, f, doc, root) of the signatures that texts of different components have."""
     rooted = windows.select("key", "f", "doc").join(first.select("key"), "key").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     unlike = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    return written(rooted.join(unlike, "key"), "rooted")
+    return _kept(rooted.join(unlike, "key"), "rooted")
 
 
 def _able(blocked: DataFrame, rooted: DataFrame, buckets: int, least: int, percent: int) -> DataFrame:
@@ -378,7 +384,7 @@ def _able(blocked: DataFrame, rooted: DataFrame, buckets: int, least: int, perce
     placed = blocked.select("block", "ids").mapInArrow(place, "block long, doc long").join(asked, "doc")
     texts = blocked.select("block", "texts", "starts", "ids").groupBy("block")
     counted = texts.cogroup(placed.groupBy("block")).applyInArrow(count, "bucket long, block long, keys binary, roots binary, several binary")
-    shared = written(counted.groupBy("bucket").applyInArrow(meet, "block long, keys binary"), "shared")
+    shared = _kept(counted.groupBy("bucket").applyInArrow(meet, "block long, keys binary"), "shared")
     able = texts.cogroup(shared.groupBy("block")).applyInArrow(run, "doc long, strong boolean, spans array<int>, tokens binary, text string")
     return able.join(asked.select("doc"), "doc", "left_semi")
 
@@ -414,9 +420,9 @@ def _apart(rooted: DataFrame, stretched: DataFrame, agreeing: int, least: int, p
     their stretches (doc, spans, tokens) are held against each other there, and their passages are the second table.
     """
     unlike = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("strong").alias("any"), F.count("*").alias("n")).filter("low < high AND any").select("key", "n")
-    rooted = written(rooted.join(unlike, "key"), "rooted")
+    rooted = _kept(rooted.join(unlike, "key"), "rooted")
     short, long = rooted.filter(F.col("n") <= SHORT_LIST), rooted.filter(F.col("n") > SHORT_LIST)
-    held = written(long.groupBy("doc").agg(F.collect_list(F.struct("f", "n", "key")).alias("listed")), "listed")
+    held = _kept(long.groupBy("doc").agg(F.collect_list(F.struct("f", "n", "key")).alias("listed")), "listed")
 
     x, y = short.alias("x"), short.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.strong") | F.col("y.strong")))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -282,6 +283,29 @@ def test_windows_of_many_texts():
     assert np.array_equal(node, np.concatenate([p + a for (_, p), a in zip(found, at, strict=False)]))
 
 
+def test_passages_release_their_shuffles(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = [(i, " ".join(f"{draw.getrandbits(40):x}" for _ in range(1000))) for i in range(60)]
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    write, left = passages.written, {}
+
+    def spied(df, name):
+        before = held()
+        out = write(df, name)
+        end = time.time() + 3  # they are removed in the background
+        while name == "windows" and (held() - before) and time.time() < end:
+            time.sleep(0.1)
+        left[name] = held() - before
+        return out
+
+    monkeypatch.setattr(passages, "written", spied)
+    found = passages.near_passages(frame(spark, rows))
+    assert left["windows"] == set()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert found.count() == 60 and found.collect() == found.collect()
+
+
 def test_passages(spark):
     draw = random.Random(1)
     word = lambda n: [f"w{draw.randrange(3000)}" for _ in range(n)]
