@@ -30,6 +30,8 @@ KEPT_POINTS = 48
 KEPT_PIECES = 600_000
 #: Pieces of more bytes than this merge at many places in a step.
 LONG = 256
+#: Letters that are encoded, and cells of trees that are merged, at a time.
+LETTERS, CELLS = 1 << 18, 1 << 17
 _NONE = np.int64(1) << np.int64(60)
 
 
@@ -38,7 +40,7 @@ def classes() -> np.ndarray:
     """The class of every code point, as the split pattern sees it."""
     import regex
 
-    points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    points = np.append(np.arange(0xD800), np.arange(0xE000, 0x110000)).astype("<u4").tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, points):
@@ -264,7 +266,7 @@ class Encoder:
         width = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
         for w in np.unique(width[left]).tolist():
             own = np.flatnonzero(left & (width == w))
-            step = max(1, (1 << 19) // w)
+            step = max(1, CELLS // w)
             for i in range(0, len(own), step):
                 part = own[i : i + step]
                 grid = starts[part][:, None] + np.arange(w)
@@ -363,7 +365,7 @@ def encoder(path: str) -> Encoder:
 def encoded(texts: list[str | None], path: str) -> Iterator[tuple[int, np.ndarray]]:
     """``(position, ids)`` of each text."""
     own = encoder(path)
-    for first, end, points, starts, joined in text_blocks(texts):
+    for first, end, points, starts, joined in text_blocks(texts, LETTERS):
         ids, at = own.encode(points, starts, joined)
         for i in range(first, end):
             yield i, ids[at[i - first] : at[i - first + 1]]

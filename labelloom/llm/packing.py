@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import parts_of, released, written
 from .byte_bpe import encoded
 
 PIECE = "doc_id {key}, start long, length long, {payload}, doc_tokens long, part long, nth long"
@@ -99,7 +99,7 @@ def cut_documents(df: DataFrame, tokenizer: str, capacity: int, end_id: int, pay
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = []
             for i, ids in encoded(batch.column(1).to_pylist(), tokenizer):
                 ids = np.append(ids, end_id).astype("<u4")
@@ -111,7 +111,7 @@ def cut_documents(df: DataFrame, tokenizer: str, capacity: int, end_id: int, pay
             long = lambda x: pa.array(np.array(x, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(long(columns[0])), long(columns[1]), long(columns[2]), pa.array(columns[3], pa.list_(pa.int32())) if payload == "ids" else long(columns[3]), *map(long, columns[4:])], ["doc_id", "start", "length", kind.split()[0], "doc_tokens", "part", "nth"])
 
-    return df.select("doc_id", "text").mapInArrow(run, PIECE.format(key=df.schema["doc_id"].dataType.simpleString(), payload=kind))
+    return df.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), PIECE.format(key=df.schema["doc_id"].dataType.simpleString(), payload=kind))
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, payload: str = "ids") -> DataFrame:

@@ -27,19 +27,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mixed, partitions, span_hashes, written
+from ._common import mixed, partitions, release, released, span_hashes, written
 
 GRAM = 18
-BLOCK_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
+BLOCK_BYTES, SLICE_BYTES = 4 << 20, 1 << 18
 #: Documents that an anchor may have before its strings are handled one by one.
 FREQUENT = 2000
 COVER_PERIOD, COVER = 13, (0, 1, 3, 9)
 BUCKET_BYTES, BUCKET_ROWS = 8 << 20, 1 << 16
+#: Anchors whose bytes are taken at a time.
+ANCHORS = 1 << 13
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LAST = np.iinfo(np.int64).max
 
@@ -106,9 +109,12 @@ def surroundings(data: np.ndarray, position: np.ndarray, first: np.ndarray, end:
     span = length - GRAM + 1
     width = span - 1 + length
     origin = position - (span - 1)
-    grid = origin[:, None] + np.arange(width)
-    held = (grid >= first[:, None]) & (grid < (end - 1 + length)[:, None])
-    rows = np.where(held, data[np.clip(grid, 0, max(0, len(data) - 1))], 0).astype(np.uint8)
+    rows = np.zeros((len(position), width), np.uint8)
+    for i in range(0, len(position), ANCHORS):
+        some = slice(i, i + ANCHORS)
+        grid = origin[some, None] + np.arange(width)
+        held = (grid >= first[some, None]) & (grid < (end[some] - 1 + length)[:, None])
+        rows[some] = np.where(held, data[np.clip(grid, 0, max(0, len(data) - 1))], 0)
     return rows, (first - origin).astype(np.uint8), (end - origin).astype(np.uint8)
 
 
@@ -213,7 +219,7 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            size = np.array([len(t or "") for t in batch.column(0).to_pylist()], np.int64)  # in characters: near enough
+            size = pc.utf8_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)  # in characters: near enough
             ends = np.cumsum(size)
             i = 0
             while i < batch.num_rows:
@@ -232,7 +238,7 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
                 i = j
 
     picked = docs.select(F.col(text).cast("string"), F.col("doc_id"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
-    return written(picked.mapInArrow(run, "block long, size long, texts binary, starts binary, ids binary, rest binary"), "blocks")
+    return written(picked.mapInArrow(lambda batches: released(run(batches)), "block long, size long, texts binary, starts binary, ids binary, rest binary"), "blocks")
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,9 +295,10 @@ def repeated_keys(blocked: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray]
         met, first = np.unique(block, return_index=True)
         bounds = np.append(first, len(block))
         spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        release()
         return pa.table({"block": pa.array(met, pa.int64()), "keys": pa.array([pack_sorted(key[a:b]) for a, b in spans], pa.binary()), "frequent": pa.array([squeeze(total[a:b] > frequent) for a, b in spans], pa.binary())})
 
-    counted = blocked.select("block", "texts", "starts", "ids").mapInArrow(count, "bucket long, block long, keys binary, counts binary")
+    counted = blocked.select("block", "texts", "starts", "ids").mapInArrow(lambda batches: released(count(batches)), "bucket long, block long, keys binary, counts binary")
     return counted.groupBy("bucket").applyInArrow(meet, "block long, keys binary, frequent binary")
 
 
@@ -325,6 +332,7 @@ def bucketed_strings(blocked: DataFrame, repeated: DataFrame, length: int, bucke
                 out["block"].append(row["block"])
                 for name, x in columns.items():
                     out[name].append(squeeze(x[a:b]))
+        release()
         return pa.table({k: pa.array(v, pa.int64() if k in ("bucket", "block") else pa.binary()) for k, v in out.items()})
 
     return blocked.select("block", "texts", "starts", "ids").groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(run, _SENT)
@@ -374,6 +382,7 @@ def sorted_buckets(sent: DataFrame, length: int) -> DataFrame:
         met, first = np.unique(block[order], return_index=True)
         spans = list(zip(first, np.append(first[1:], len(order)), strict=True))
         pack = lambda x: pa.array([squeeze(x[order[i:j]]) for i, j in spans], pa.binary())
+        release()
         return pa.table({"block": pa.array(met, pa.int64()), "names": pack(name), "low": pack(a), "high": pack(b), "least": pack(least)})
 
     return sent.groupBy("bucket").applyInArrow(run, "block long, names binary, low binary, high binary, least binary")
@@ -390,10 +399,10 @@ def marked(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, names: np.ndar
     hit = least[run] < ids[text[row]]
     row, run = row[hit], run[hit]
     origin = position[row] - (length - GRAM)
-    change = np.zeros(len(data) + 1, np.int64)
+    change = np.zeros(len(data) + 1, np.int32)
     np.add.at(change, origin + low[run], 1)
     np.add.at(change, origin + high[run] - 1 + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -438,6 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", freque
             for name, x in (("text", pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())), ("kept", pa.array(kept, pa.binary())), *zip(("n_bytes", "n_removed", "n_spans"), map(pa.array, sums), strict=True)):
                 rest = rest.append_column(name, x)
             out.append(rest)
+        release()
         return pa.concat_tables(out)
 
     result = blocked.drop("size").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"{kinds}, text string, " + ", ".join(f"{k} {v}" for k, v in added.items()))

@@ -451,6 +451,24 @@ def test_shingles_take_little_memory():
     assert most < 20 << 20
 
 
+def test_anchors_take_little_memory():
+    """A block's strings are found some texts at a time, and their bytes taken some anchors at a time."""
+    draw = random.Random(14)
+    texts = ["".join(draw.choices("abcdefgh ", k=1500)).encode() for _ in range(1000)]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    keys = np.unique(substrings.sliced(data, starts, 50)[1])
+    frequent = np.zeros(len(keys), bool)
+    tracemalloc.start()
+    _, _, rows, low, high, where, _ = substrings.described(data, starts, 50, keys, frequent)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) > 80_000
+    for i in range(0, len(rows), 997):
+        a, b = where[i] - 32 + int(low[i]), where[i] - 32 + int(high[i]) - 1 + 50
+        assert rows[i, low[i] : int(high[i]) + 49].tobytes() == data[a:b].tobytes()
+    assert most < 80 << 20
+
+
 def test_within():
     rng = np.random.default_rng(13)
     for n, m in ((0, 0), (0, 5), (5, 0), (1, 1), (40, 7), (7, 40), (300, 300)):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -135,6 +136,36 @@ def test_packing_edges(spark):
     assert packing.pack_documents(df.limit(0), JSON).count() == 0
 
 
+def test_encoding_takes_little_memory():
+    """The pipeline's executors hold two workers beside their heap; texts are encoded some letters at a time, and tables made without a string a code point."""
+    draw = random.Random(13)
+    texts = [" ".join(f"w{draw.randrange(10**5)}" for _ in range(300)) for _ in range(1000)]
+    list(byte_bpe.encoded(texts[:2], JSON))  # tables that stay
+    tracemalloc.start()
+    sizes = [len(ids) for _, ids in byte_bpe.encoded(texts, JSON)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    kinds = byte_bpe.classes.__wrapped__()
+    table = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    whole = Tokenizer.from_file(JSON)
+    assert sizes == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts] and (kinds == byte_bpe.classes()).all()
+    assert most < 60 << 20
+    assert table < 30 << 20
+
+
+def test_packing_of_several_parts_of_a_batch(spark):
+    df = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(2500)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack_documents(df, JSON, 64).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(2500))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 64
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "é", "x" * 9000), (6, "u", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
