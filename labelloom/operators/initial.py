@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import steady_sum
 from .transforms import mean_feature, one_row
 
 
@@ -25,20 +26,21 @@ def bias_only(universe: DataFrame, meta: DataFrame, value: float = -1.0) -> Data
 
 def positive_means(features: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = labels.groupBy("label_id").agg(F.count("*").alias("n_pos"))
-    sums = features.join(labels, "example_id").groupBy("label_id", "feature_id").agg(F.sum("value").alias("s"))
+    sums = features.join(labels, "example_id").groupBy("label_id", "feature_id").agg(steady_sum(F.col("value")).alias("s"))
     return sums.join(sizes, "label_id").select("label_id", "feature_id", "n_pos", (F.col("s") / F.col("n_pos")).alias("mu"))
 
 
 def mean_separating(features: DataFrame, labels: DataFrame, meta: DataFrame, pos: float = 1.0, neg: float = -2.0) -> DataFrame:
     """w = u mu+ + v mu, so that the label's mean scores ``pos`` and the overall mean its share of ``pos`` and ``neg``.
 
-    Where the two means don't span a plane, u = 0 and v = -1.
+    Where the two means don't span a plane, u = 0 and v = -1. Labels with the same positive vectors get the same weights,
+    so a ranking ties them.
     """
     overall, own = mean_feature(features, meta), positive_means(features, labels)
     mu, mean, eps = F.col("mu"), F.col("mean"), 1.1920929e-07
     joined = own.join(overall, "feature_id")
-    dots = joined.groupBy("label_id", "n_pos").agg(F.sum(mu * mu).alias("pp"), F.sum(mu * mean).alias("pa"))
-    row = one_row(one_row(dots, overall.agg(F.sum(mean * mean).alias("aa"))), meta.select("n_examples"))
+    dots = joined.groupBy("label_id", "n_pos").agg(steady_sum(mu * mu).alias("pp"), steady_sum(mu * mean).alias("pa"))
+    row = one_row(one_row(dots, overall.agg(steady_sum(mean * mean).alias("aa"))), meta.select("n_examples"))
     pp, pa, aa = F.col("pp"), F.col("pa"), F.col("aa")
     row = row.withColumn("d", pa * pa - pp * aa).withColumn("f", F.col("n_pos") / F.col("n_examples") * (pos - neg) + neg)
     flat = (F.abs(pa) < eps) | (F.abs(F.col("d")) < eps)

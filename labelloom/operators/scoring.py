@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import steady_sum
+
 
 def score(features: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(example_id, label_id, score)`` of the pairs with a common feature; all others score 0."""
+    """``(example_id, label_id, score)`` of the pairs with a common feature; all others score 0. Labels of equal weights tie."""
     pairs = features.join(weights, "feature_id")
-    return pairs.groupBy("example_id", "label_id").agg(F.sum(F.col("value") * F.col("w")).alias("score"))
+    return pairs.groupBy("example_id", "label_id").agg(steady_sum(F.col("value") * F.col("w")).alias("score"))
 
 
 def full_scores(scores: DataFrame, examples: DataFrame, universe: DataFrame) -> DataFrame:

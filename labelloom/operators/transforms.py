@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import steady_sum
+
 
 def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """``df`` with the columns of a one-row table."""
@@ -42,7 +44,7 @@ def normalize(features: DataFrame) -> DataFrame:
 
 def mean_feature(features: DataFrame, meta: DataFrame) -> DataFrame:
     """Column sums over the number of all rows."""
-    return one_row(features.groupBy("feature_id").agg(F.sum("value").alias("total")), meta).select("feature_id", (F.col("total") / F.col("n_examples")).alias("mean"))
+    return one_row(features.groupBy("feature_id").agg(steady_sum(F.col("value")).alias("total")), meta).select("feature_id", (F.col("total") / F.col("n_examples")).alias("mean"))
 
 
 def feature_counts(features: DataFrame) -> DataFrame:

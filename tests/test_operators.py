@@ -272,3 +272,26 @@ def test_stream_of_examples(spark, tmp_path):
     write = lambda batch, _: streamed.summed(batch).write.mode("append").parquet(f"{tmp_path}/out")
     streamed.score_stream(packed, weights).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, 0, 5.0), (1, 1, -2.0), (2, 0, 6.0), (2, 1, -3.0)]
+
+
+def test_labels_of_equal_positives_tie(spark):
+    """Copies of vectors under labels of their own: a ranking puts the smaller of the tied labels first."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).astype(np.float32).astype(float)
+    copies = [(300 * c + i, i, c) for c in range(6) for i in range(300)]
+    rng.shuffle(copies)
+    features = entries(spark, [(int(e), f, float(x[i, f])) for e, i, _ in copies for f in rng.permutation(8).tolist()]).repartition(7)
+    labels = spark.createDataFrame([(int(e), int(10 * c + i % 2)) for e, i, c in copies], "example_id long, label_id long").repartition(5)
+    meta = spark.createDataFrame([(1800, 8, 52)], "n_examples long, n_features long, n_labels long")
+    w = initial.mean_separating(features, labels, meta)
+    top = scoring.top_k(scoring.score(features, w), 12).collect()
+    for first in (0, 6):
+        ranks = {(r.example_id, r.rk - first): r.label_id for r in top if first <= r.rk < first + 6}
+        assert all(label // 10 == rk for (_, rk), label in ranks.items())
+
+
+def test_steady_sum_of_odd_terms(spark):
+    rows = [(0, 1e300), (0, -1e300), (0, 2.5), (1, float("inf")), (1, 1.0), (2, float("nan")), (2, 1.0), (3, None), (4, None), (4, -0.1), (5, 1e-300), (6, 0.1), (6, 0.2), (6, -0.3)]
+    got = dict(spark.createDataFrame(rows, "k int, x double").groupBy("k").agg(fn.steady_sum(F.col("x")).alias("s")).collect())
+    assert (got[0], got[1], got[3], got[4], got[5]) == (2.5, math.inf, None, -0.1, 1e-300) and math.isnan(got[2])
+    assert got[6] == pytest.approx(0.0, abs=1e-16)
