@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom import functions as fn
-from labelloom.operators import initial, metrics, objective, scoring, stats, training
+from labelloom.operators import initial, metrics, objective, scoring, spread, stats, training
 from labelloom.operators import labels as lab
 from labelloom.operators import transforms as tr
 
@@ -295,3 +295,41 @@ def test_steady_sum_of_odd_terms(spark):
     got = dict(spark.createDataFrame(rows, "k int, x double").groupBy("k").agg(fn.steady_sum(F.col("x")).alias("s")).collect())
     assert (got[0], got[1], got[3], got[4], got[5]) == (2.5, math.inf, None, -0.1, 1e-300) and math.isnan(got[2])
     assert got[6] == pytest.approx(0.0, abs=1e-16)
+
+
+@pytest.mark.parametrize("case", ["dense", "sparse", "shortlist"])
+def test_training_spread_is_training_by_kernel(spark, monkeypatch, case):
+    """Features beyond the broadcast's size are trained by passes over blocks, with the same results."""
+    rng = np.random.default_rng(5)
+    n, f = 90, 5
+    x = rng.normal(size=(n, f)) * (1 if case == "dense" else rng.random((n, f)) < 0.4)
+    features = entries(spark, [(100 + 3 * i, j, float(x[i, j])) for i in range(n) for j in range(f) if x[i, j]])
+    examples = spark.createDataFrame([(100 + 3 * i,) for i in range(n)], "example_id long")
+    labels = spark.createDataFrame([(100 + 3 * i, 2 * k) for i in range(n) for k in range(3) if x[i, k] > 0.3], "example_id long, label_id long")
+    ids = spark.createDataFrame([(0,), (2,), (4,), (9,)], "label_id long")  # the last one has no positive
+    costs = ids.selectExpr("label_id", "1.0d + label_id as pos", "0.5d as neg")
+    start = spark.createDataFrame([(2, 1, 0.5), (4, 0, -0.25)], "label_id long, feature_id long, w double")
+    chosen = ids.crossJoin(examples).filter("(example_id + label_id) % 4 < 3") if case == "shortlist" else None
+    for o in (training.Options(eps=1e-6, scale_eps=False), training.Options(loss="logistic", penalty="elastic-50-50", tail=3, tail_strength=2.0, sparsify=0.01), training.Options(optimise=False, ignore_last=True)):
+        run = lambda: {r.label_id: r for r in training.train(features, labels, ids, examples, f, costs, o, start, chosen).collect()}  # noqa: B023, E731
+        monkeypatch.setattr(training, "BROADCAST_BYTES", 1 << 20)
+        want = run()
+        monkeypatch.setattr(training, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(training, "packed", None)  # the features aren't taken to the driver
+        monkeypatch.setattr(training, "WEIGHTS", 2 * f)
+        monkeypatch.setattr(spread, "BLOCK", 40)
+        monkeypatch.setattr(spread, "CELLS", 20)
+        got = run()
+        monkeypatch.undo()
+        assert sorted(got) == sorted(want) == [0, 2, 4, 9]
+        for k, r in want.items():
+            assert (got[k].n_pos, got[k].outcome, got[k].steps, got[k].feature_ids, len(got[k].trace)) == (r.n_pos, r.outcome, r.steps, r.feature_ids, len(r.trace))
+            assert np.allclose(got[k].weights, r.weights, 1e-6, 1e-9) and np.allclose([got[k].loss, got[k].grad, got[k].loss_start], [r.loss, r.grad, r.loss_start], 1e-6, 1e-6)
+
+
+def test_spread_training_fails_aloud(spark):
+    def answer(questions):
+        raise ValueError("lost")
+
+    with pytest.raises(ValueError, match="lost"):
+        spread.answers_together([lambda ask: ask((1,)), lambda ask: 2], answer)
