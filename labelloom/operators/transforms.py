@@ -88,9 +88,12 @@ def shortlist(features: DataFrame, chosen: DataFrame) -> DataFrame:
     return features.join(chosen, "example_id").select("label_id", F.col("pos").alias("example_id"), "feature_id", "value")
 
 
-def tf_idf(features: DataFrame, counts: DataFrame, meta: DataFrame, whole: bool = True) -> DataFrame:
-    """(1 + ln tf) ln(N / df), rows to unit length. ``whole``: N / df is cut to an integer, an unknown df counts as 1; else tf is rounded and zeros drop."""
-    joined = one_row(features.join(counts, "feature_id", "left"), meta)
+def tf_idf(features: DataFrame, counts: DataFrame | None, meta: DataFrame, whole: bool = True) -> DataFrame:
+    """(1 + ln tf) ln(N / df), rows to unit length. ``whole``: N / df is cut to an integer, an unknown df counts as 1; else tf is rounded and zeros drop.
+
+    Without ``counts`` the features have a column df.
+    """
+    joined = one_row(features if counts is None else features.join(counts, "feature_id", "left"), meta)
     if whole:
         idf = F.log(F.floor(F.col("n_examples") / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))).cast("double"))
         tf = F.col("value")
@@ -112,8 +115,9 @@ def select_labels(labels: DataFrame, start: int, end: int = -1) -> DataFrame:
     return (own.filter(F.col("label_id") < end) if end >= 0 else own).withColumn("label_id", F.col("label_id") - start)
 
 
-def density(features: DataFrame, meta: DataFrame) -> DataFrame:
-    nnz = features.agg(F.count("*").alias("nnz"))
+def density(features: DataFrame, meta: DataFrame, counted: bool = False) -> DataFrame:
+    """``counted``: the table has a row a column, with its number of entries df, in place of a row an entry."""
+    nnz = features.agg((F.coalesce(F.sum("df"), F.lit(0)) if counted else F.count("*")).cast("bigint").alias("nnz"))
     return one_row(nnz, meta).select(F.col("n_examples").alias("rows"), F.col("n_features").alias("columns"), "nnz", (100.0 * F.col("nnz") / (F.col("n_examples") * F.col("n_features"))).alias("percent"))
 
 

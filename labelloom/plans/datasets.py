@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import Dataset
+from ..sources.shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,20 +65,46 @@ ord_m as (select (select count(*) from orders) as n_examples, (select count(*) f
 """
 
 
+FREQUENT = 1 << 18  # words that each worker holds
+TEXT_BYTES = 32 << 20  # text that a task counts the words of
+
+
 def words(spark: SparkSession, sf_dir: str) -> Dataset:
     """Sparse: counts of words (three documents or more); language, source, quality and toxicity as labels. Features and labels are named by hash: no global numbering."""
+    data, _ = counted_words(spark, sf_dir)
+    return Dataset(data.features.drop("df"), data.labels, data.examples, data.meta)
+
+
+def counted_words(spark: SparkSession, sf_dir: str) -> tuple[Dataset, DataFrame]:
+    """``words`` whose features have their number of entries as a column ``df``, and these numbers by word: (word, feature_id, n, df).
+
+    Texts are dealt by document once, and its words counted where it is. The words that are kept are written with their
+    numbers; the most frequent ones of them, which nearly all entries are of, go to each worker, so that only entries of
+    the others are dealt by word.
+    """
     d, m = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    tokens = d.select(F.col("doc_id").alias("example_id"), F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
-    counted = tokens.groupBy("example_id", "word").agg(F.count("*").cast("double").alias("value"))
-    common = counted.groupBy("word").agg(F.count("*").alias("df")).filter("df >= 3")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // TEXT_BYTES)
+    texts = d.select(F.col("doc_id").alias("example_id"), "text").repartition(parts, "example_id")
+    tokens = texts.select("example_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
+    counted = lambda those, *by: those.groupBy("example_id", *by).agg(F.count("*").cast("double").alias("value"))
     code = F.conv(F.substring(F.md5("word"), 1, 13), 16, 10).cast("bigint")
-    features = counted.join(common, "word").select("example_id", code.alias("feature_id"), "value")
+    common = counted(tokens, "word").groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3").select("word", F.monotonically_increasing_id().alias("word_id"), code.alias("feature_id"), "n")
+    common = written(common.withColumn("df", F.sum("n").over(Window.partitionBy("feature_id"))), "words")
+    entries = lambda those: those.select("example_id", "feature_id", "value", "df")
+    few = common.count() <= FREQUENT
+    least = 0 if few else common.orderBy(F.desc("n")).select("n").limit(FREQUENT + 1).agg(F.min("n")).first()[0]
+    frequent, others = F.broadcast(common.filter(F.col("n") > least)), common.filter(F.col("n") <= least)
+    features = entries(counted(tokens.join(frequent, "word"), "word_id", "feature_id", "df"))
+    if not few:
+        rest = counted(tokens.join(frequent.select("word"), "word", "left_anti"), "word").join(others, "word")
+        features = features.unionByName(entries(rest).repartition(parts, "example_id"))
     kinds = F.array(F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"))
     tags = d.select(F.col("doc_id").alias("example_id"), F.explode(kinds).alias("tag"))
     tags = tags.unionByName(m.filter("quality = 1").select(F.col("doc_id").alias("example_id"), F.lit("quality").alias("tag"))).unionByName(m.filter("toxic = 1").select(F.col("doc_id").alias("example_id"), F.lit("toxic").alias("tag"))).filter("tag is not null")
     labels = tags.select("example_id", F.conv(F.substring(F.md5("tag"), 1, 13), 16, 10).cast("bigint").alias("label_id"))
     examples = d.select(F.col("doc_id").alias("example_id"))
-    return Dataset(features, labels, examples, _meta(examples, common.agg(F.count("*").alias("n_features")), labels.agg(F.count_distinct("label_id").alias("n_labels"))))
+    return Dataset(features, labels, examples, _meta(examples, common.agg(F.count("*").alias("n_features")), labels.agg(F.count_distinct("label_id").alias("n_labels")))), common
 
 
 DOC = r"""

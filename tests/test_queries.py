@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -39,3 +40,24 @@ def test_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.ORACLE) <= set(__spark_entry__.queries())
+
+
+def test_words_of_many_kinds(spark, duck, tmp_path, monkeypatch):
+    """Frequent words are looked up where the text is, others by word; a document's rows count together; null and empty texts have none."""
+    from labelloom.plans import datasets
+
+    docs = [(i % 17, " ".join(f"w{chr(97 + (i * j) % 19)}" for j in range(i % 13)) if i % 7 else None, "en", None if i % 3 else "web", 0) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for most in (4, 1 << 18):
+        monkeypatch.setattr(datasets, "FREQUENT", most)
+        features = datasets.words(spark, str(tmp_path)).features
+        plan = features._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(example_id#\d+L, \d", plan) and not re.search(r"hashpartitioning\(example_id#\d+L, word", plan)
+        for name in ("xfm_04_document_frequency", "xfm_10_tf_idf", "xfm_11_tf_idf_real", "xfm_16_density"):
+            df, result = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.ORACLE[name])
+            names = [c[0] for c in result.description]
+            assert sorted(tuple(map(plain, r)) for r in df.select(names).collect()) == sorted(tuple(map(plain, r)) for r in result.fetchall())
