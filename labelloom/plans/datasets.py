@@ -37,13 +37,21 @@ emb_m as (select (select count(*) from embeddings) as n_examples, cast((select m
 """
 
 
+LINES = 1 << 19  # rows of lineitem that a task sums
+
+
 def orders(spark: SparkSession, sf_dir: str) -> Dataset:
-    """Multi-label: an order's quantity by brand; its priority, status, market segment and nation as labels."""
+    """Multi-label: an order's quantity by brand; its priority, status, market segment and nation as labels.
+
+    Features are dealt by order, over as many tasks as the lines need: what follows by order needs no other deal.
+    """
     o, l, p = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     brands = p.select("p_brand").distinct().select("p_brand", (F.dense_rank().over(Window.orderBy("p_brand")) - 1).cast("bigint").alias("feature_id"))  # the brands there are
     parts = p.select("p_partkey", "p_brand").join(brands, "p_brand").select("p_partkey", "feature_id")
-    features = l.join(parts, l.l_partkey == parts.p_partkey).groupBy(F.col("l_orderkey").alias("example_id"), "feature_id").agg(F.sum("l_quantity").cast("double").alias("value"))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), l.count() // LINES)
+    lines = l.join(parts, l.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("example_id"), "feature_id", "l_quantity").repartition(tasks, "example_id")
+    features = lines.groupBy("example_id", "feature_id").agg(F.sum("l_quantity").cast("double").alias("value"))
     who = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     tags = F.array(F.concat(F.lit("n:"), "n_name"), F.concat(F.lit("p:"), "o_orderpriority"), F.concat(F.lit("s:"), "o_orderstatus"), F.concat(F.lit("m:"), "c_mktsegment"))
     tagged = who.select(F.col("o_orderkey").alias("example_id"), F.explode(tags).alias("tag"))

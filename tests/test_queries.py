@@ -61,3 +61,13 @@ def test_words_of_many_kinds(spark, duck, tmp_path, monkeypatch):
             df, result = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.ORACLE[name])
             names = [c[0] for c in result.description]
             assert sorted(tuple(map(plain, r)) for r in df.select(names).collect()) == sorted(tuple(map(plain, r)) for r in result.fetchall())
+
+
+def test_hashing_deals_orders_once(spark, monkeypatch):
+    """By order, over more tasks as there are more lines: sums, hashed sums and norms of an order are formed where its lines are."""
+    from labelloom.plans import datasets
+
+    monkeypatch.setattr(datasets, "LINES", 1000)
+    for name in ("xfm_02_normalize", "xfm_07_hashing", "xfm_09_pipeline"):
+        plan = registry.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"hashpartitioning\(\w*(?:example_id|orderkey)#\d+L.*?(\d+)\)", plan) == ["6"]
