@@ -16,10 +16,23 @@ def score(features: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.groupBy("example_id", "label_id").agg(steady_sum(F.col("value") * F.col("w")).alias("score"))
 
 
+CELLS = 1 << 21  # pairs of example and label that a task fills in
+
+
 def full_scores(scores: DataFrame, examples: DataFrame, universe: DataFrame) -> DataFrame:
-    """A score for every example and label: as many rows as the result asks for."""
-    grid = examples.select("example_id").crossJoin(universe.select("label_id"))
-    return grid.join(scores, ["example_id", "label_id"], "left").select("example_id", "label_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    """A score for every example and label: as many rows as the result asks for.
+
+    Examples and the scores there are are dealt by example, and its zeros made there: none of them is shuffled.
+    """
+    spark = scores.sparkSession
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), examples.count() * universe.count() // CELLS)
+    every = examples.select("example_id", F.lit(None).cast("long").alias("label_id"), F.lit(None).cast("double").alias("score"), F.lit(1).alias("_copy"))
+    dealt = every.unionByName(scores.select("example_id", F.col("label_id").cast("long").alias("label_id"), F.col("score").cast("double").alias("score"), F.lit(0).alias("_copy"))).repartition(tasks, "example_id")
+    labels = universe.agg(F.collect_list(F.col("label_id").cast("long")).alias("_labels"))
+    filled = dealt.crossJoin(F.broadcast(labels)).select("example_id", F.explode(F.when(F.col("_copy") > 0, F.col("_labels")).otherwise(F.array("label_id"))).alias("label_id"), "score", "_copy")
+    merged = filled.groupBy("example_id", "label_id").agg(F.max("score").alias("score"), F.sum("_copy").alias("_copy")).filter("_copy > 0")
+    several = F.when(F.col("_copy") > 1, F.array_repeat(F.lit(1), F.col("_copy").cast("int"))).otherwise(F.array(F.lit(1)))  # rows that share an example
+    return merged.select("example_id", "label_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.explode(several).alias("_copy")).drop("_copy")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

@@ -333,3 +333,14 @@ def test_spread_training_fails_aloud(spark):
 
     with pytest.raises(ValueError, match="lost"):
         spread.answers_together([lambda ask: ask((1,)), lambda ask: 2], answer)
+
+
+def test_full_scores_shuffle_no_zeros(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CELLS", 10)
+    scores = spark.createDataFrame([(1, 0, 0.5), (1, 2, -0.25), (3, 1, float("nan")), (9, 1, 4.0)], "example_id long, label_id long, score double")
+    examples = spark.createDataFrame([(1,), (2,), (3,), (3,)], "example_id long")  # two rows share an example; 9 isn't one of them
+    out = scoring.full_scores(scores, examples, spark.range(3).toDF("label_id"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.example_id, r.label_id, str(r.score)) for r in out.collect())
+    assert got == sorted([(1, 0, "0.5"), (1, 1, "0.0"), (1, 2, "-0.25"), (2, 0, "0.0"), (2, 1, "0.0"), (2, 2, "0.0")] + 2 * [(3, 0, "0.0"), (3, 1, "nan"), (3, 2, "0.0")])
+    assert plan.count("hashpartitioning") == 1 and "hashpartitioning(example_id" in plan
