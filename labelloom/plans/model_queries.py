@@ -481,13 +481,13 @@ sums as (select rk + 1 as k, sum(h) as h, sum(ch.d / cb.d) as nd, count(*) as n,
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     d = ds.orders(spark, sf)
     counts = lab.label_counts(d.labels, ds.universe(d), d.meta)
     inverse = lab.propensities(counts, d.meta).select("label_id", (1 / F.col("p")).alias("inv"))
-    by = Window.partitionBy("example_id").orderBy((F.col("label_id") * 7 + F.col("example_id")) % 41, "label_id")
-    pred = d.examples.crossJoin(F.broadcast(ds.universe(d))).withColumn("rk", (F.row_number().over(by) - 1).cast("bigint")).filter("rk < 5")
+    # each example's order is made in its row: only its first five labels become rows
+    every = ds.universe(d).agg(F.collect_list("label_id").alias("labels"))
+    order = F.array_sort(F.transform("labels", lambda x: F.struct(((x * 7 + F.col("example_id")) % 41).alias("key"), x.alias("label_id"))))
+    pred = d.examples.crossJoin(F.broadcast(every)).select("example_id", F.posexplode(F.slice(order, 1, 5)).alias("rk", "x")).select("example_id", F.col("rk").cast("bigint").alias("rk"), "x.label_id")
     return metrics.labelled_metrics(pred, d.labels, inverse)
 
 

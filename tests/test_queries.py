@@ -71,3 +71,9 @@ def test_hashing_deals_orders_once(spark, monkeypatch):
     for name in ("xfm_02_normalize", "xfm_07_hashing", "xfm_09_pipeline"):
         plan = registry.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
         assert re.findall(r"hashpartitioning\(\w*(?:example_id|orderkey)#\d+L.*?(\d+)\)", plan) == ["6"]
+
+
+def test_labelled_ranks_are_made_in_rows(spark):
+    """Of the labels ranked for an example only the first five become rows: no window sorts a row for each pair."""
+    plan = registry.QUERIES["met_28_psndcg"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "% 41" in plan and not re.search(r"Sort \[example_id#\d+L[^\n]*_w", plan)
